@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton, chat, packing, rules, secrets, sharding, tokenfile
+from . import automaton, chat, importance, neardup, packing, rules, secrets, sharding, tokenfile, topk
 from .common import staged, table
 from .oracles import ORACLES
 
@@ -14,6 +14,10 @@ SHARDS = 16
 CONFLICT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,6 +28,10 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(staged(chat.format_conversations(rows), "chat"))
 
 
+def op4_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,12 +48,20 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ledger(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op2_token_file, op3_chat_round_trip, op5_best_fit_packing, op6_secret_scan, op7_rendezvous_shards, op8_bpe_automaton, op10_rule_ledger)
+    found = (
+        op1_importance_resampling, op2_token_file, op3_chat_round_trip, op4_bagminhash_near_dedup, op5_best_fit_packing,
+        op6_secret_scan, op7_rendezvous_shards, op8_bpe_automaton, op9_impact_top_k, op10_rule_ledger,
+    )
     return {f.__name__: f for f in found}
 
 
