@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are counted: one of the target (texts labelled good), one
-of the raw corpus (all texts). A text's log importance weight is the sum over its n-grams of
-log(p_target / p_raw). The corpus is resampled by Gumbel top-k: every text gets its log weight
+of the raw corpus (all texts). A text's log importance weight is the mean over its n-grams of
+log(p_target / p_raw), times LENGTH, so that weights don't grow with the length of a text. The corpus is resampled by Gumbel top-k: every text gets its log weight
 plus a Gumbel draw (by its id), and the k highest are kept, which is sampling without replacement
 in proportion to the weights. k follows from the labels that did not train the target model: the
 cut on log weights that best tells good from bad there, and the number of all texts above it.
@@ -35,6 +35,7 @@ from .words import mix, string_hashes, words_of
 BUCKETS = 1 << 14
 LABELS = 20_000
 SEED = 17
+LENGTH = 100  # weights are those of texts of so many n-grams
 PRIOR = 20  # pseudo-counts of the target model in an average bucket
 
 
@@ -118,7 +119,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray, sampled: tuple, seed: int = SEE
                 part = batch.slice(i, j - i)
                 keys = part.column(key_at).fill_null(0).to_numpy(zero_copy_only=False)
                 row, bucket = features(part.column(text_at), len(ratio))
-                weight = np.bincount(row, ratio[bucket], minlength=j - i)
+                weight = LENGTH * np.bincount(row, ratio[bucket], minlength=j - i) / np.maximum(np.bincount(row, minlength=j - i), 1)
                 at = np.minimum(np.searchsorted(held, keys), max(0, len(held) - 1))
                 known = (held[at] == keys) & part.column(key_at).is_valid().to_numpy(zero_copy_only=False) if len(held) else np.zeros(j - i, bool)
                 label = pa.array(np.where(known, verdict[at] if len(held) else 0, 0).astype(np.int32), mask=~known)
