@@ -73,7 +73,7 @@ def to_integer(c: Column, have: T.DataType, bits: int) -> Column:
     if _is(have, T.BinaryType):
         n = bits // 8
         unsigned = F.conv(_from_bytes(c, n), 16, 10).cast("decimal(20,0)")
-        signed = F.when(unsigned >= F.lit(1 << (bits - 1)).cast("decimal(20,0)"), unsigned - F.lit(str(1 << bits)).cast("decimal(20,0)")).otherwise(unsigned)
+        signed = F.when(unsigned >= F.lit(str(1 << (bits - 1))).cast("decimal(20,0)"), unsigned - F.lit(str(1 << bits)).cast("decimal(20,0)")).otherwise(unsigned)
         return signed.cast({8: "byte", 16: "short", 32: "int", 64: "long"}[bits])
     if _is(have, T.BooleanType):
         return c.cast("int").cast({8: "byte", 16: "short", 32: "int", 64: "long"}[bits])
