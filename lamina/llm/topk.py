@@ -8,7 +8,8 @@ below the maximum, quantised into LEVELS equal steps. The posting segment of a l
 For a block of queries, |q_d| times the height (q_d > 0) or depth (q_d < 0) adds up to the score,
 but for a constant. Segments are processed by descending level: each adds its lower edge to the
 accumulators of its vectors. What a vector may still gain is bounded: a pair that was seen by the
-width of a step, one that wasn't by the upper edge of the next level. Processing stops only where
+width of a step, one that wasn't by the edge of the segments left. Segments are taken in batches
+of levels. Processing stops only where
 the bound proves that no other vector can reach the k-th best lower bound; the vectors that may are
 rescored exactly. So results are exact whatever the data; ties go to the smaller id.
 
@@ -33,50 +34,56 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-LEVELS = 8
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
-#: Vectors that may be members are rescored once they are so few a query, on average.
-RESCORE = 64
+LEVELS = 32
+#: Segments are processed in batches that begin at these levels; after each, the bound is tried.
+STOPS = (20, 12, 6, 0)
+BLOCK_VECTORS, BLOCK_QUERIES = 8192, 256
+#: Above this share of possible members, a block is rescored by one product of matrices.
+DENSE = 0.02
 
 
 class ImpactBlock:
-    """The postings of one block: for each dimension, quantised heights above the minimum."""
+    """The postings of one block: quantised heights above the minimum, and depths below the maximum."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
-        span = int((self.high - self.low).max()) + 1
-        self.step = max(1, -(-span // LEVELS))
-        self.up = (vectors - self.low) // self.step  # level of the height
-        self.down = (self.high - vectors) // self.step  # level of the depth
+        low, high = vectors.min(axis=0), vectors.max(axis=0)
+        self.step = max(1, -(-(int((high - low).max()) + 1) // LEVELS))
+        # Rows are dimensions by height, then by depth; the level of each vector.
+        self.levels = np.concatenate([(vectors - low) // self.step, (high - vectors) // self.step], axis=1).T
 
-    def segment(self, level: int) -> np.ndarray:
-        """Pairs of this quantised impact: rows are dimensions by height, then by depth."""
-        return np.concatenate([self.up == level, self.down == level], axis=1).T.astype(np.float32)
+    def segments(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of levels first to last - 1: their lower edges, and where they are."""
+        inside = (self.levels >= first) & (self.levels < last)
+        return (self.levels * self.step * inside).astype(np.float32), inside.astype(np.float32)
 
 
 def search_block(block: ImpactBlock, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Members of the exact top k, as (query row, vector row, score); ties at the k-th all stay."""
+    """Possible members of the exact top k, as (query row, vector row, score): every vector that
+    isn't among them is proven to score lower than k others."""
     n, q = len(block.vectors), len(queries)
     weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(np.float32)
+    left = weight.sum(axis=1, keepdims=True) - np.zeros((q, n), np.float32)  # weight of what wasn't seen
     total = weight.sum(axis=1, keepdims=True)
     got = np.zeros((q, n), np.float32)  # lower edges of what was seen
-    seen = np.zeros((q, n), np.float32)  # weight of what was seen
-    alive = np.ones((q, n), bool)
-    k = min(k, n)
-    for level in range(LEVELS - 1, -1, -1):
-        part = weight @ block.segment(level)
-        seen += part
-        if level:
-            got += part * np.float32(level * block.step)
-        left = np.float32(level * block.step)  # a pair not seen has less
-        best = got + (block.step - 1) * seen + np.maximum(left - 1, 0) * (total - seen)
-        kth = np.partition(got, n - k, axis=1)[:, n - k, None]
-        alive = best >= kth
-        if alive.sum() <= max(RESCORE, k) * q:
+    k, last = min(k, n), int(block.levels.max()) + 1
+    for first in STOPS:
+        edges, inside = block.segments(first, last)
+        got += weight @ edges
+        left -= weight @ inside
+        last = first
+        # Seen pairs gain less than a step, others less than the lower edge of this batch.
+        best = got + (block.step - 1) * (total - left)
+        best += np.float32(max(0, first * block.step - 1)) * left
+        alive = best >= np.partition(got, n - k, axis=1)[:, n - k, None]
+        if first == 0 or alive.mean() <= DENSE:
             break
     rows, members = np.nonzero(alive)
-    return rows, members, np.einsum("ij,ij->i", queries[rows], block.vectors[members], optimize=True)
+    if alive.mean() > DENSE:
+        score = (queries.astype(np.float64) @ block.vectors.T.astype(np.float64))[rows, members].astype(np.int64)
+    else:
+        score = np.einsum("ij,ij->i", queries[rows], block.vectors[members])
+    return rows, members, score
 
 
 def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, size: int, name: str) -> DataFrame:
@@ -132,9 +139,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
                 yield pd.DataFrame({"query_id": q_ids[rows[keep]], "q_row": r.q_block * (1 << 20) + rows[keep], "vec_id": found[keep], "score": score[keep]})
 
     # Each block of queries is sent to every block of the index: a stated query set against all rows.
-    blocks = index.select("block", "dims").withColumnRenamed("dims", "d")
-    sent = asked.select("q_block", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = sent.join(blocks, sent.q_dims == blocks.d).drop("d", "q_dims").join(index, "block")
+    # Index blocks are dealt over salts, so that no task holds all of them.
+    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = index.select("block", F.col("dims").alias("q_dims"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    sent = asked.select("q_block", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    pairs = sent.join(blocks, ["q_dims", "salt"]).drop("q_dims", "salt").join(index, "block")
     best = pairs.mapInPandas(search, "query_id long, q_row long, vec_id long, score long")
     w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
