@@ -4,8 +4,8 @@ A text is cut only where its tokenizer always has a token boundary, so the ids o
 the ids of its pieces, one after the other:
 
 - mode "word" (white space dropped before the merges): at ASCII white space;
-- mode "byte" (a word takes one leading space): before a space. Where white space runs are
-  longer or of other kinds, that isn't a boundary; such texts are encoded whole.
+- mode "byte" (a word takes one leading space): before a space or line end. Inside longer runs of
+  white space, or beside other kinds of it, that isn't a boundary; such texts are encoded whole.
 
 Arrow splits the texts and finds the distinct pieces; the tokenizer sees each distinct piece
 once in a while (a bounded cache holds the pieces that come again), and numpy lays out the ids.
@@ -22,16 +22,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Space inside or at the end of a run of white space, or white space that isn't plain ASCII.
-_WHOLE = r"\s \s|\s \z|[\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE_PIECES = 500_000
-# The split patterns of the two modes, for ASCII text, and the characters for its bytes.
-_ASCII_SPLIT = {
-    "byte": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII),
-    "word": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII),
+# Space inside or at the end of a run of white space, other white space than plain ASCII, or the
+# mark that stands for line ends here.
+_MARK = "\x01"
+_WHOLE = r"\s[ \n]\s|\s[ \n]\z|[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CACHE_PIECES, CACHE_PARTS = 200_000, 400_000
+# The split patterns of the two modes for texts of ASCII and Latin-1 letters, which are in normal
+# form, and the characters that stand for bytes that aren't printable.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PLAIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*")
+_SPLIT = {
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\sA-Za-z0-9{_LETTERS}]+|\s+(?!\S)|\s+", re.ASCII),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+", re.ASCII),
 }
-_ASCII_BYTES = {b: chr(256 + b) for b in range(33)} | {127: chr(289)}
-SLICE_BYTES = 8 << 20
+_BYTES = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+SLICE_BYTES = 12 << 20
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -53,6 +58,27 @@ def sliced(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
+class Recent(dict):
+    """A cache of two generations of at most `size` entries: what was used lately stays."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        out = list(map(self.get, keys))
+        if self.old:
+            for i, x in enumerate(out):
+                if x is None and (y := self.old.get(keys[i])) is not None:
+                    out[i] = self[keys[i]] = y
+        return out
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """ids of whole texts. encode_many: a list of strings -> a list of id lists (of any text)."""
 
@@ -60,17 +86,21 @@ class PieceEncoder:
         self.encode_many, self.mode = encode_many, mode
         self.dtype = np.dtype("<u2" if vocab_size <= 1 << 16 else "<u4")
         self.code = "H" if vocab_size <= 1 << 16 else "I"
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(CACHE_PIECES)
+
+    def packed(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as bytes."""
+        return [array(self.code, ids).tobytes() for ids in self.encode_many(pieces)]
 
     def _pack(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        missing = [p for p in pieces if p not in cache]
+        cache.turn()
+        out = cache.find(pieces)
+        missing = [i for i, x in enumerate(out) if x is None]
         if missing:
-            for p, ids in zip(missing, self.encode_many(missing), strict=True):
-                cache[p] = array(self.code, ids).tobytes()
-        return [cache[p] for p in pieces]
+            for i, data in zip(missing, self.packed([pieces[i] for i in missing]), strict=True):
+                cache[pieces[i]] = out[i] = data
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text); null counts as empty."""
@@ -82,7 +112,7 @@ class PieceEncoder:
                 whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
                 own = self.encode_many(texts.take(pa.array(whole)).to_pylist())
                 texts = pc.if_else(odd, "", texts)
-            lists = pc.split_pattern(texts, " ")
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", f" {_MARK}"), " ")
         else:
             lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -96,8 +126,12 @@ class PieceEncoder:
         flag = np.zeros(2 * len(values.dictionary), bool)
         flag[keys] = True
         used = np.flatnonzero(flag)
-        words = values.dictionary.take(pa.array(used >> 1)).to_pylist()
-        packed = self._pack([" " + w if k & 1 else w for w, k in zip(words, used.tolist(), strict=True)])
+        words = values.dictionary.take(pa.array(used >> 1))
+        if self.mode == "byte":
+            line = pc.starts_with(words, _MARK)
+            spaced = pc.and_(pa.array(used & 1 == 1), pc.invert(line))
+            words = pc.if_else(line, pc.replace_substring(words, _MARK, "\n"), pc.if_else(spaced, pc.binary_join_element_wise(" ", words, ""), words))
+        packed = self._pack(words.to_pylist())
         size = self.dtype.itemsize
         lens = np.fromiter(map(len, packed), np.int64, len(packed)) // size
         pool = np.frombuffer(b"".join(packed), self.dtype)
@@ -127,24 +161,41 @@ def library_encoder(path: str, mode: str) -> PieceEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        split, tokenize = _ASCII_SPLIT[mode].findall, tokenizer.model.tokenize
+        split, tokenize = _SPLIT[mode].findall, tokenizer.model.tokenize
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
 
         def encode_many(texts: list[str]) -> list[list[int]]:
-            """Short ASCII pieces go to the library's model straight away; all others through its whole pipeline."""
-            out: list[list[int] | None] = []
-            for x in texts:
-                if len(x) > 200 or not x.isascii() or any(t in x for t in added):
-                    out.append(None)
-                    continue
-                parts = split(x if mode == "byte" else x.lower())
-                out.append([t.id for p in parts for t in tokenize(p.translate(_ASCII_BYTES))])
-            rest = [i for i, x in enumerate(out) if x is None]
-            for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-            return out
-
-        _ENCODERS[path, mode] = PieceEncoder(encode_many, mode, tokenizer.get_vocab_size(with_added_tokens=True))
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        class LibraryEncoder(PieceEncoder):
+            """Short plain pieces go to the library's model straight away; all others through its whole pipeline."""
+
+            parts = Recent(CACHE_PARTS)
+
+            def part(self, p: str) -> bytes:
+                data = self.parts.old.get(p)
+                if data is None:
+                    data = array(self.code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                self.parts[p] = data
+                return data
+
+            def packed(self, pieces: list[str]) -> list[bytes]:
+                self.parts.turn()
+                known, out, rest = self.parts.get, [], []
+                for i, x in enumerate(pieces if mode == "byte" else [x.lower() if x.isascii() else x for x in pieces]):
+                    if x.isascii() and x[mode == "byte" and x[:1] == " " :].isalpha() and len(x) <= 200:  # one part
+                        out.append(known(x) or self.part(x))
+                    elif len(x) > 200 or not _PLAIN.fullmatch(x) or "<|" in x and any(t in x for t in added):
+                        rest.append(i)
+                        out.append(b"")
+                    else:
+                        out.append(b"".join([known(p) or self.part(p) for p in split(x if mode == "byte" else x.lower())]))
+                for i, data in zip(rest, super().packed([pieces[i] for i in rest]), strict=True):
+                    out[i] = data
+                return out
+
+        _ENCODERS[path, mode] = LibraryEncoder(encode_many, mode, size)
     return _ENCODERS[path, mode]
 
 
