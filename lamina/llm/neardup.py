@@ -16,10 +16,11 @@ surely filled, which is moved on for the texts where they aren't.
 Candidates. Copies of a text are one text from the start. Texts that agree in a band (ROWS
 components) are a bucket. Buckets may be of any size and are never expanded into all pairs: first,
 all texts of a bucket meet one leader, and the pairs are verified exactly. Links join classes.
-A bucket whose texts are all of one class is done. In the others, texts outside the largest class
-become leaders, round by round, and meet the texts of the other classes; a leader that has met them
-leaves. Since 1 - overlap is a metric, two texts whose overlaps with the first leader differ by more
-than 0.2 can't be linked and don't meet. So no link between texts of one bucket is lost.
+A bucket whose texts are all of one class is done. In the others, the texts outside the largest
+class meet texts of other classes, round by round: eight drawn by hash, then four times as many,
+until the bucket is of one class or all are drawn. Since 1 - overlap is a metric, two texts whose
+overlaps with the first leader differ by more than 0.2 can't be linked and don't meet. So no link
+between texts of one bucket is lost: of two classes, one is met in whole by the other.
 
 A pair of overlap 0.8 shares a band with probability 1 - (1 - 0.8^ROWS)^BANDS, over 0.99999.
 
@@ -108,21 +109,22 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """(id, bands) of texts that have words."""
+def _sketched(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) as (doc_id, digest, bands); bands is empty for texts without words.
+
+    One pass over the texts without a shuffle; copies are sketched too, and left out by digest later."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in sliced(batch.column(1), 2 << 20):
                 ends, hashes = shingles(*words_of(batch.column(1).slice(i, j - i)), N)
-                some = np.flatnonzero(np.diff(ends))
-                if not len(some):
-                    continue
+                some = np.diff(ends) > 0
                 keys = band_keys(signatures(ends, hashes, ROWS * BANDS)[some], BANDS, ROWS)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), lists], ["id", "bands"])
+                offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists], ["doc_id", "digest", "bands"])
 
-    return texts.select("id", "text").mapInArrow(sketch, "id long, bands array<long>")
+    return rows.select("doc_id", "text", F.sha2("text", 256).alias("digest")).mapInArrow(sketch, "doc_id long, digest string, bands array<long>")
 
 
 def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -154,38 +156,39 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, overlap double")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(id, root) of the texts that are linked to another: every two texts with a shared band and an
-    overlap of THRESHOLD or more have the same root, the lowest id they are connected with."""
-    members = staged(_sketched(texts).select("id", F.explode("bands").alias("key")), "bands")
+def links(members: DataFrame, texts_of) -> DataFrame:
+    """(id, root) of the texts that are linked to another: every two texts with a shared band (key) and
+    an overlap of THRESHOLD or more have the same root, the lowest id they are connected with.
+    members: (key, id); texts_of(ids): the texts (id, text) of a table of ids."""
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("id")).alias("leader")).where("n > 1")
     active = staged(members.join(shared.select("key", "leader"), "key"), "buckets")
+    texts = staged(texts_of(active.select("id").distinct()), "texts")
     pair = (F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     known = staged(_verified(active.where("id <> leader").select(*pair).distinct(), texts), "verified")
     roots = components(known.where(F.col("overlap") >= THRESHOLD))
     # `first` is the overlap with the bucket's first leader, which leaves the bucket with it.
     with_first = active.where("id <> leader").withColumns({"a": pair[0], "b": pair[1]}).join(known, ["a", "b"])
     active = staged(with_first.select("key", "id", F.col("overlap").alias("first")), "buckets")
-    wanted = 4
+    wanted = 8
     while True:
         # Buckets whose texts are of one class are done.
         named = active.join(roots, "id", "left").select("key", "id", "first", F.coalesce("root", "id").alias("root"))
         sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-        mixed = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-        open_ = staged(named.join(mixed, "key"), "open")
+        mixed = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.max("n").alias("largest")).where("size > largest")
+        open_ = staged(named.join(mixed.drop("largest"), "key"), "open")
         if open_.isEmpty():
             return roots
-        # Leaders come from outside the largest class: all of them, or `wanted` of them on average.
-        chance = F.shiftrightunsigned(F.xxhash64("id", F.lit(wanted)), 11) * F.lit(_UNIT) * F.col("others") < wanted
-        drawn = open_.withColumn("lead", (F.col("root") != F.col("most")) & chance).drop("most", "others")
-        leaders = drawn.where("lead").select("key", F.col("id").alias("leader"), F.col("first").alias("l_first"), F.col("root").alias("l_root"))
-        met = drawn.join(leaders, "key").where((F.col("root") != F.col("l_root")) & (F.abs(F.col("first") - F.col("l_first")) <= 1 - THRESHOLD + 1e-9))
-        pairs = met.select(*pair).distinct().join(known, ["a", "b"], "left_anti")
-        new = staged(_verified(pairs, texts), "verified")
+        # Texts outside the largest class meet `wanted` texts of the bucket on average; the drawn texts
+        # of a round are among those of the next one, and all are drawn in the last.
+        drawn = open_.where(F.shiftrightunsigned(F.xxhash64("id"), 11) * F.lit(_UNIT) * F.col("size") < wanted)
+        met = open_.where("root <> most").join(drawn.select("key", F.col("id").alias("leader"), F.col("first").alias("l_first"), F.col("root").alias("l_root")), "key")
+        met = met.where((F.col("root") != F.col("l_root")) & (F.abs(F.col("first") - F.col("l_first")) <= 1 - THRESHOLD + 1e-9))
+        new = staged(_verified(met.select(*pair).distinct().join(known, ["a", "b"], "left_anti"), texts), "verified")
         known = known.unionByName(new)
         found = new.where(F.col("overlap") >= THRESHOLD).select("a", "b")
-        roots = _merged(roots, found)
-        active = staged(drawn.where(~F.col("lead")).select("key", "id", "first"), "buckets")
+        if not found.isEmpty():
+            roots = _merged(roots, found)
+        active = open_.where(F.col("size") > wanted).select("key", "id", "first")
         wanted *= 4
 
 
@@ -203,8 +206,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each id of the edges: root is the lowest id of its connected component.
 
     Rounds of hooking to the lowest neighbour and jumping: large-star and small-star steps, each
-    written to the shared folder; the lowest ids spread in a logarithmic number of rounds."""
+    written to the shared folder, until a round leaves the edges (their number and the sum of their
+    hashes) as they are."""
     edges = staged(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
+    before = None
     while True:
         # Large star: every larger neighbour of u hangs on the lowest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -213,34 +218,36 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: all smaller neighbours of u, and u, hang on the lowest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        following = staged(small, "edges")
-        changed = following.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(following, ["u", "v"], "left_anti").isEmpty()
-        edges = following
-        if changed:
+        edges = staged(small, "edges")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        if now == before:
             break
+        before = now
     hung = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return staged(hung.unionByName(hung.select(F.col("root").alias("id"), "root").distinct()), "roots")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """One row per different text: its lowest id and the text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    return rows.withColumn("digest", F.sha2("text", 256))
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the lowest doc_id of its class) and is_kept (whether it is that one), one
     row per doc_id."""
-    hashed = _texts(docs)
-    rows = staged(hashed.select("doc_id", "digest"), "digests")
-    reps = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("id")), "reps")
-    ids = hashed.join(reps.select("id", F.col("digest").alias("d")), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d")), "left_semi")
-    texts = ids.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    rows = staged(_sketched(texts), "sketches")
+    # A text is named by its lowest id; of several texts with one lowest id, by the digest too.
+    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    own = rows.join(reps.withColumnsRenamed({"digest": "d"}), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")), "left_semi").dropDuplicates(["doc_id"])
+    members = staged(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands")
+    chosen = own.select(F.col("doc_id").alias("id"), "digest")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        some = chosen.join(ids, "id", "left_semi")
+        all_ = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+        return all_.withColumn("digest", F.sha2("text", 256)).join(some, ["id", "digest"], "left_semi").select("id", "text").dropDuplicates(["id"])
+
     # One doc_id with several texts: they are linked by the id itself.
-    member = rows.join(reps, "digest").select("doc_id", "id").distinct()
+    member = rows.select("doc_id", "digest").join(reps, "digest").select("doc_id", "id").distinct()
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id")
     by_id = member.join(several, "doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    roots = links(texts)
+    roots = links(members, texts_of)
     if not by_id.isEmpty():
         roots = _merged(roots, by_id)
     out = member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
