@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.sort import Key, with_position, with_previous
+from lamina.operators.sort import Key, shared_folder, with_position, with_previous
 
 PROBES = 10_000  # probes that are broadcast at once
 
@@ -67,10 +67,18 @@ def boundary_order(index: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("up"), "ASCENDING").when(F.col("down"), "DESCENDING").otherwise("UNORDERED").alias("boundary_order"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search(index: DataFrame, probes: DataFrame, value: str = "value") -> DataFrame:
     """For each probe, the first page whose bounds hold it; the number of pages if none does.
 
-    Probes are broadcast in blocks of at most PROBES rows."""
+    Probes are broadcast in blocks of at most PROBES rows. Pages and probes are written to the shared
+    folder once, so that a block reads them and doesn't make them anew."""
+    index, probes = _stored(index.select("page", "min_value", "max_value", "null_page")), _stored(probes)
     n = probes.count()
     n_pages = index.agg(F.count(F.lit(1)).alias("_pages"))
     blocks = -(-n // PROBES) or 1

@@ -403,6 +403,14 @@ def page_search(spark, sf_dir):
     return stats.search(_order_pages(spark, sf_dir), probes)
 
 
+@query("""WITH p AS (SELECT pos // 256 AS page, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) GROUP BY 1),
+          q AS (SELECT DISTINCT l_orderkey + 500000 * (l_orderkey % 2) AS value FROM lineitem)
+          SELECT value, coalesce((SELECT min(page) FROM p WHERE value BETWEEN lo AND hi), (SELECT count(*) FROM p)) AS page FROM q""")
+def page_search_all(spark, sf_dir):
+    probes = t(spark, sf_dir, "lineitem", "l_orderkey").select((F.col("l_orderkey") + 500000 * (F.col("l_orderkey") % 2)).alias("value")).distinct()
+    return stats.search(_order_pages(spark, sf_dir), probes)
+
+
 @query("SELECT substr(min(p_name), 1, 8) AS min_value, CASE WHEN length(max(p_name)) > 8 THEN substr(max(p_name), 1, 7) || chr(ascii(substr(max(p_name), 8, 1)) + 1) ELSE max(p_name) END AS max_value FROM part")
 def truncate_bounds(spark, sf_dir):
     return stats.truncated_bounds(t(spark, sf_dir, "part", "p_name"), "p_name", 8)
@@ -428,6 +436,12 @@ def bloom_write_roundtrip(spark, sf_dir):
     return membership.member_of(p, names, "p_name").select("p_partkey")
 
 
+@query("SELECT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part)")
+def bloom_write_roundtrip_all(spark, sf_dir):
+    p = _written(spark, t(spark, sf_dir, "part"), bloom={"p_name": 20000}, plain=["p_name"])
+    return membership.member_of(p, t(spark, sf_dir, "part", "p_name"), "p_name").select("p_partkey")
+
+
 # --- dictionaries
 
 _DICT_SQL = "SELECT event_type AS value, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY 1"

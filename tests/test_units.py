@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from compare import SF
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from lamina.functions import casts, schema, values
 from lamina.operators import convert, dictionary, display, membership, merge, rows, sort, stats
 from lamina.operators.sort import Key, ascending, descending, nulls_first
+from lamina.plans import catalogue
 from lamina.sources import parquet, sinks
 
 
@@ -36,6 +38,33 @@ def test_search_in_blocks_of_probes(spark, monkeypatch):
     assert {r.value: r.page for r in stats.search(index, probes).collect()} == {v: 0 if v < 10 else 1 if v < 21 else 2 for v in range(25)}
 
 
+def test_search_and_membership_take_all_probes(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PROBES", 400)
+    keys = sorted(r.o_orderkey for r in catalogue.t(spark, SF, "orders", "o_orderkey").collect())
+    page = {k: i // 256 for i, k in enumerate(keys)}
+    edges = [(keys[i], keys[min(i + 255, len(keys) - 1)]) for i in range(0, len(keys), 256)]
+    probes = {r.l_orderkey + 500000 * (r.l_orderkey % 2) for r in catalogue.t(spark, SF, "lineitem", "l_orderkey").collect()}
+    want = {v: page.get(v, next((i for i, (a, b) in enumerate(edges) if a <= v <= b), len(edges))) for v in probes}
+    assert {r.value: r.page for r in catalogue.QUERIES["page_search_all"](spark, SF).collect()} == want
+    parts = {r.p_partkey for r in catalogue.t(spark, SF, "part", "p_partkey").collect()}
+    assert {r.p_partkey for r in catalogue.QUERIES["bloom_write_roundtrip_all"](spark, SF).collect()} == parts
+
+
+def test_search_makes_its_pages_and_probes_once(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PROBES", 3)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    index = spark.createDataFrame([(0, 0, 9, False), (1, 5, 20, False)], "page long, min_value long, max_value long, null_page boolean")
+    probes = spark.createDataFrame([(v,) for v in range(25)], "value long").mapInPandas(counted, "value long")
+    assert stats.search(index, probes).count() == 25
+    assert made.value == 25
+
+
 def test_positions_and_previous_rows_cross_partitions(spark):
     data = [(i * 7 % 1000, i) for i in range(1000)]
     out = sort.with_previous(frame(spark, data, "k long, v long"), [ascending("k")], ["v"]).orderBy("pos").collect()
