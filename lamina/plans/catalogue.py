@@ -473,6 +473,12 @@ def dictionary_bounds(spark, sf_dir):
     return dictionary.bounds(dictionary.encode(t(spark, sf_dir, "events", "event_id", "event_type").where("event_id < 3"), "event_type", d), d)
 
 
+@query("SELECT min(event_type) AS min_value, max(event_type) AS max_value FROM events")
+def dictionary_bounds_all(spark, sf_dir):
+    d = _dictionary(spark, sf_dir)
+    return dictionary.bounds(dictionary.encode(t(spark, sf_dir, "events", "event_id", "event_type"), "event_type", d), d)
+
+
 # --- scalars, building, copying, display
 
 

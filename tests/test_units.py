@@ -222,6 +222,11 @@ def test_dictionary_order_and_nulls(spark):
     assert dictionary.value_at(d, 1).head().value == "a"
 
 
+def test_dictionary_bounds_take_all_events(spark):
+    kinds = [r.event_type for r in catalogue.t(spark, SF, "events", "event_type").collect()]
+    assert [tuple(r) for r in catalogue.QUERIES["dictionary_bounds_all"](spark, SF).collect()] == [(min(kinds), max(kinds))]
+
+
 def test_sinks(spark, tmp_path):
     df = frame(spark, [(i, str(i)) for i in range(100)], "k long, v string")
     for codec in sinks.CODECS:
