@@ -232,25 +232,28 @@ def classes(docs: DataFrame) -> DataFrame:
     row per doc_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = staged(_sketched(texts), "sketches")
-    # A text is named by its lowest id; of several texts with one lowest id, by the digest too.
-    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    own = rows.join(reps.withColumnsRenamed({"digest": "d"}), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")), "left_semi").dropDuplicates(["doc_id"])
-    members = staged(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "bands")
-    chosen = own.select(F.col("doc_id").alias("id"), "digest")
+    # A text is named by a number of its own, which is staged with its lowest doc_id: several texts may
+    # have one lowest doc_id, and all steps must mean the same text by a number.
+    reps = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()), "texts")
+    own = rows.join(reps.withColumnsRenamed({"digest": "d"}), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("low")))
+    members = staged(own.select("id", "bands").dropDuplicates(["id"]).select("id", F.explode("bands").alias("key")), "bands")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        some = chosen.join(ids, "id", "left_semi")
-        all_ = texts.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-        return all_.withColumn("digest", F.sha2("text", 256)).join(some, ["id", "digest"], "left_semi").select("id", "text").dropDuplicates(["id"])
+        some = reps.join(ids, "id", "left_semi")
+        all_ = texts.join(some.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("digest", F.sha2("text", 256))
+        return all_.join(some.select("id", "digest", F.col("low").alias("doc_id")), ["doc_id", "digest"]).select("id", "text").dropDuplicates(["id"])
 
     # One doc_id with several texts: they are linked by the id itself.
     member = rows.select("doc_id", "digest").join(reps, "digest").select("doc_id", "id").distinct()
-    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id")
-    by_id = member.join(several, "doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
+    by_id = staged(member.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "by_id")
     roots = links(members, texts_of)
     if not by_id.isEmpty():
         roots = _merged(roots, by_id)
-    out = member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("class_id"))
+    # A class has the lowest doc_id of its texts.
+    named = reps.join(roots, "id", "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("class_id"))
+    out = member.join(named.join(lowest, "root").select("id", "class_id"), "id").select("doc_id", "class_id")
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("is_kept", F.col("doc_id") == F.col("class_id"))
 
 

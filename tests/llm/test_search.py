@@ -75,6 +75,22 @@ def test_near_duplicates_are_the_components_of_all_links(spark):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def test_texts_that_share_their_lowest_id_all_meet_others(spark):
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(500)]
+    text = lambda: [rng.choice(words) for _ in range(100)]
+    rows = []
+    for c in range(12):
+        several = [text() for _ in range(3)]
+        rows += [(100 * c + 7, " ".join(t)) for t in several]
+        rows += [(100 * c + 9 + k, " ".join([*t, f"more{c}"])) for k, t in enumerate(several)]
+        rows += [(100 * c + 50, " ".join(text()))]
+    want = brute_classes(rows)
+    assert all(want[100 * c + 9 + k] == 100 * c + 7 for c in range(12) for k in range(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == want
+
+
 def test_near_duplicates_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(df).count() == 0 and neardup.keep_one(df).count() == 0
