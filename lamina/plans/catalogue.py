@@ -230,13 +230,15 @@ def sorted_write(spark, sf_dir):
 @query("SELECT * FROM customer")
 def merge_concat(spark, sf_dir):
     c = t(spark, sf_dir, "customer")
-    return merge.concat([c.where("c_nationkey < 12"), c.where("c_nationkey >= 12")])
+    low = F.coalesce(F.col("c_nationkey") < 12, F.lit(False))
+    return merge.concat([c.where(low), c.where(~low)])
 
 
 @query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders")
 def merge_sorted(spark, sf_dir):
     o = t(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
-    parts = [o.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in ("F", "O", "P")]
+    known = F.coalesce(F.col("o_orderstatus").isin("F", "O", "P"), F.lit(False))
+    parts = [o.where(c).drop("o_orderstatus") for c in (*[F.col("o_orderstatus") == s for s in ("F", "O", "P")], ~known)]
     return merge.merge_positions(parts, [ascending("o_orderdate"), ascending("o_orderkey")])
 
 

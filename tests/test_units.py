@@ -111,6 +111,15 @@ def test_deduplication_needs_keys(spark):
     assert {tuple(r) for r in sort.dedupe_sorted(df, [ascending("k")], [descending("v")]).collect()} == {(1, 5), (None, 2)}
 
 
+def test_merges_take_rows_with_null_and_other_values(spark, tmp_path):
+    day = datetime.datetime(2020, 1, 1)
+    orders = spark.createDataFrame([(i, day, s) for i, s in enumerate(["F", "O", "P", "X", None])], "o_orderkey long, o_orderdate timestamp_ntz, o_orderstatus string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 3), (2, 12), (3, None)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(tuple(r)[::2] for r in catalogue.QUERIES["merge_sorted"](spark, str(tmp_path)).select("o_orderkey", "o_orderdate", "pos").collect()) == [(i, i) for i in range(5)]
+    assert sorted(r.c_custkey for r in catalogue.QUERIES["merge_concat"](spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
 def test_merge_checks_keys_and_schemas(spark):
     a, b = spark.range(3), spark.range(3).withColumnRenamed("id", "other")
     with pytest.raises(ValueError):
