@@ -17,7 +17,8 @@ Blocks of queries meet blocks of vectors (each pair is one row of two packed blo
 bounded memory), and the best k of each pair are merged by query.
 
 Vectors that are null or empty, or that hold null or non-finite components, take no part; vectors
-meet those of their own length. Repeated ids are separate rows. An empty table gives
+meet those of their own length. Scores are 64-bit integers: vectors whose score could be beyond
+them are an error. Repeated ids are separate rows. An empty table gives
 no rows.
 """
 
@@ -52,43 +53,68 @@ class ImpactBlock:
         # Rows are dimensions by height, then by depth; the level of each vector.
         self.levels = np.concatenate([(vectors - low) // self.step, (high - vectors) // self.step], axis=1).T
 
-    def segments(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, first: int, last: int, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of levels first to last - 1: their lower edges, and where they are."""
         inside = (self.levels >= first) & (self.levels < last)
-        return (self.levels * self.step * inside).astype(np.float32), inside.astype(np.float32)
+        return (self.levels * self.step * inside).astype(kind), inside.astype(kind)
+
+
+def _largest(queries: np.ndarray, vectors: np.ndarray) -> int:
+    """A bound of all scores and of the sums on the way to them."""
+    top = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    return top(queries) * top(vectors) * queries.shape[1]
+
+
+def _integers(data: bytes, n: int, dims: int) -> np.ndarray:
+    """The vectors of a packed block, of 32-bit integers or of 64-bit ones."""
+    return np.frombuffer(data, "<i4" if len(data) == 4 * n * dims else "<i8").reshape(n, dims).astype(np.int64)
 
 
 def search_block(block: ImpactBlock, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Possible members of the exact top k, as (query row, vector row, score): every vector that
     isn't among them is proven to score lower than k others."""
     n, q = len(block.vectors), len(queries)
-    weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(np.float32)
-    left = weight.sum(axis=1, keepdims=True) - np.zeros((q, n), np.float32)  # weight of what wasn't seen
+    high = _largest(queries, block.vectors)
+    if high >= 1 << 63:
+        raise OverflowError("scores beyond 64 bits")
+    # All bounds are sums of integers, which are exact below 2**24 in 32 bits and below 2**53 in 64.
+    bound = max((int(x) for x in np.abs(queries).sum(axis=1)), default=0) * (int(block.levels.max()) + 2) * block.step
+    if bound >= 1 << 53:
+        rows, members = (x.ravel() for x in np.indices((q, n)))
+        return rows, members, (queries @ block.vectors.T).ravel()
+    kind = np.float32 if bound < 1 << 24 else np.float64
+    weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(kind)
+    left = weight.sum(axis=1, keepdims=True) - np.zeros((q, n), kind)  # weight of what wasn't seen
     total = weight.sum(axis=1, keepdims=True)
-    got = np.zeros((q, n), np.float32)  # lower edges of what was seen
+    got = np.zeros((q, n), kind)  # lower edges of what was seen
     k, last = min(k, n), int(block.levels.max()) + 1
     for first in STOPS:
-        edges, inside = block.segments(first, last)
+        edges, inside = block.segments(first, last, kind)
         got += weight @ edges
         left -= weight @ inside
         last = first
         # Seen pairs gain less than a step, others less than the lower edge of this batch.
         best = got + (block.step - 1) * (total - left)
-        best += np.float32(max(0, first * block.step - 1)) * left
+        best += kind(max(0, first * block.step - 1)) * left
         alive = best >= np.partition(got, n - k, axis=1)[:, n - k, None]
         if first == 0 or alive.mean() <= DENSE:
             break
     rows, members = np.nonzero(alive)
-    if alive.mean() > DENSE:
+    if alive.mean() > DENSE and high < 1 << 53:
         score = (queries.astype(np.float64) @ block.vectors.T.astype(np.float64))[rows, members].astype(np.int64)
     else:
         score = np.einsum("ij,ij->i", queries[rows], block.vectors[members])
     return rows, members, score
 
 
+def _packed_integers(x: np.ndarray) -> bytes:
+    narrow = x.astype("<i4")
+    return (narrow if (narrow == x).all() else x.astype("<i8")).tobytes()
+
+
 def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, size: int, name: str) -> DataFrame:
     """Blocks of at most `size` vectors of equal length, in the order of the input's partitions:
-    (name, dims, ids, data), with integers as little-endian 64 and 32 bits."""
+    (name, dims, ids, data), with ids as little-endian 64-bit integers and data as 32-bit ones, or 64-bit ones where they need it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,11 +127,14 @@ def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, s
             for dims in np.unique(lens):
                 pick = np.flatnonzero(lens == dims)
                 flat = lists.take(pa.array(pick)).flatten()
-                x = np.floor(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(pick), int(dims)) * scale).astype(np.int32)
+                x = np.floor(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(pick), int(dims)) * scale)
+                if len(x) and np.abs(x).max() >= 2.0**61:
+                    raise OverflowError("components beyond 64 bits")
+                x = x.astype(np.int64)
                 for i in range(0, len(pick), size):
                     yield pa.RecordBatch.from_pydict({
                         name: pa.array([(part << 32) + count], pa.int64()), "dims": pa.array([dims], pa.int32()),
-                        "ids": pa.array([ids[pick[i : i + size]].astype("<i8").tobytes()], pa.binary()), "data": pa.array([x[i : i + size].astype("<i4").tobytes()], pa.binary()),
+                        "ids": pa.array([ids[pick[i : i + size]].astype("<i8").tobytes()], pa.binary()), "data": pa.array([_packed_integers(x[i : i + size])], pa.binary()),
                     })
                     count += 1
 
@@ -127,8 +156,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
             for r in frame.itertuples(index=False):
                 ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
                 if held[0] != r.block:
-                    held = (r.block, ImpactBlock(np.frombuffer(r.data, "<i4").reshape(len(ids), r.dims).astype(np.int64)))
-                asked = np.frombuffer(r.q_data, "<i4").reshape(len(q_ids), r.dims).astype(np.int64)
+                    held = (r.block, ImpactBlock(_integers(r.data, len(ids), r.dims)))
+                asked = _integers(r.q_data, len(q_ids), r.dims)
                 rows, members, score = search_block(held[1], asked, k + int(np.unique(ids, return_counts=True)[1].max()))
                 own = q_ids[rows] == ids[members]
                 rows, found, score = rows[~own], ids[members[~own]], score[~own]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from compare import SF, check
@@ -163,6 +164,25 @@ def test_block_search_stops_early_and_is_exact():
         assert sorted(score[rows == q], reverse=True)[:5] == sorted(exact[q], reverse=True)[:5]
 
 
+@pytest.mark.parametrize("low,spread", [(1 << 24, 3), (1 << 20, 40), (0, 1 << 27)])
+def test_block_search_is_exact_for_large_components(low, spread):
+    rng = np.random.default_rng(2)
+    vectors = low + rng.integers(-spread, spread + 1, (500, 16))
+    asked = vectors[:10]
+    rows, _, score = topk.search_block(topk.ImpactBlock(vectors), asked, 5)
+    exact = asked.astype(object) @ vectors.T.astype(object)
+    for q in range(10):
+        assert sorted(score[rows == q], reverse=True)[:5] == sorted(exact[q], reverse=True)[:5]
+
+
+def test_top_k_of_components_over_32_bits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1 if i < 3 else 5e7, 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, df.where("vec_id < 3"), 5)
+    assert {tuple(r) for r in got.collect()} == brute_top(rows, [0, 1, 2], 5)
+
+
 def test_sql_twins(spark):
     for name, sql in ORACLES.items():
         check(spark, queries()[name], sql)
