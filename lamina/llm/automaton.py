@@ -29,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import PieceEncoder, sliced
+from .common import batched
+from .pieces import PieceEncoder, is_of_mode, sliced
 
 # The split pattern and byte alphabet of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,6 +123,8 @@ class ByteTokenizer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not is_of_mode(spec, "byte"):
+            raise ValueError(f"{path} isn't a byte-level vocabulary with the usual split")
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -202,4 +205,4 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema + ", ids array<int>, decoded string" * with_ids)
+    return batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema + ", ids array<int>, decoded string" * with_ids)

@@ -13,6 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch (a longer row is a batch of its own), so that the memory of a task that
+#: runs Python does not grow with the length of the texts.
+BATCH_BYTES = 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose session sends Arrow batches of BATCH_BYTES at most."""
+    conf = df.sparkSession.conf
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if now != str(BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a local one only where it is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -20,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import batched, staged
 from .pieces import sliced
 from .words import mix, string_hashes, words_of
 
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int =
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "raw", "target"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "bucket long, raw long, target long")
+    rows = batched(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(count, "bucket long, raw long, target long")
     counts = np.zeros((2, buckets), np.float64)
     for r in rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         counts[:, r.bucket] = r.raw, r.target
@@ -129,7 +129,7 @@ def weighted(docs: DataFrame, ratio: np.ndarray, sampled: tuple, seed: int = SEE
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     schema = StructType(picked.schema.fields[:-1]).add("log_weight", DoubleType()).add("score", DoubleType()).add("label", IntegerType())
-    return picked.mapInArrow(weigh, schema)
+    return batched(picked).mapInArrow(weigh, schema)
 
 
 def kth_highest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> float:

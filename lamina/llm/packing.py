@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_in_group, staged
+from .common import batched, dense_rank_in_group, shuffle_partitions, staged
 from .pieces import library_encoder, sliced, with_end
 
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 6, 2, 6, 5
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 512
 
 Groups = dict[tuple[int, ...], int]  # lengths, longest first -> how many bins are filled so
 
@@ -180,7 +180,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, mode: str, end_id: int, capa
                 ids = batch.column(0).slice(i, j - i).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECES)
+    return batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(cut, _PIECES)
 
 
 def place(pieces: DataFrame, groups: Groups, capacity: int) -> DataFrame:
@@ -223,6 +223,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     # At most `capacity` rows, whatever the input.
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups = pack_lengths(spark, counts, capacity)
-    buckets = max(1, sum(counts.values()) // ROWS_PER_BUCKET // 8)
+    buckets = min(max(1, sum(counts.values()) // ROWS_PER_BUCKET), 8 * shuffle_partitions(spark))
     ranked = dense_rank_in_group(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], F.struct("doc_id", "piece"), "_rank", buckets)
     return place(ranked, groups, capacity)

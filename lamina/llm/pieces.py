@@ -8,11 +8,14 @@ the ids of its pieces, one after the other:
   white space, or beside other kinds of it, that isn't a boundary; such texts are encoded whole.
 
 Arrow splits the texts and finds the distinct pieces; the tokenizer sees each distinct piece
-once in a while (a bounded cache holds the pieces that come again), and numpy lays out the ids.
+once in a while (a cache of bounded bytes holds the pieces that come again), and numpy lays out the
+ids. Which boundaries a tokenizer has is read from its file: one whose normalizer, split or model
+isn't of the kind that a mode stands for encodes all texts whole, by the library alone.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -26,7 +29,8 @@ import pyarrow.compute as pc
 # mark that stands for line ends here.
 _MARK = "\x01"
 _WHOLE = r"\s[ \n]\s|\s[ \n]\z|[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE_PIECES, CACHE_PARTS = 200_000, 400_000
+CACHE_PIECES, CACHE_PARTS = 16 << 20, 64 << 20  # bytes of a generation of each cache
+_ENTRY = 200  # bytes of an entry besides its text and ids
 # The split patterns of the two modes for texts of ASCII and Latin-1 letters, which are in normal
 # form, and the characters that stand for bytes that aren't printable.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -36,14 +40,32 @@ _SPLIT = {
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+", re.ASCII),
 }
 _BYTES = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
+
+# What a file says whose token boundaries are those of a mode.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZERS = {"byte": None, "word": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}}
+_SPLITTERS = {
+    "byte": _BYTE_LEVEL | {"use_regex": True},
+    "word": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_SPLIT}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def is_of_mode(spec: dict, mode: str) -> bool:
+    """Whether a tokenizer file (parsed) is of the kind that `mode` stands for."""
+    marks = all(not t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    model = all(spec["model"].get(k) == v for k, v in _MODEL.items()) and spec["model"].get("end_of_word_suffix") == {"byte": None, "word": "</w>"}[mode]
+    return marks and model and spec["normalizer"] == _NORMALIZERS[mode] and spec["pre_tokenizer"] == _SPLITTERS[mode]
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """pool[s:s+n] for each (s, n), one after the other."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
+    kind = np.int32 if max(total, len(pool)) < 1 << 30 else np.int64
+    return pool[np.arange(total, dtype=kind) + np.repeat((starts - (ends - lens)).astype(kind), lens)]
 
 
 def sliced(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -59,24 +81,28 @@ def sliced(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 class Recent(dict):
-    """A cache of two generations of at most `size` entries: what was used lately stays."""
+    """A cache of strings' ids in two generations of about `size` bytes: what was used lately stays."""
 
     def __init__(self, size: int):
         super().__init__()
-        self.size, self.old = size, {}
+        self.size, self.held, self.old = size, 0, {}
 
     def find(self, keys: list[str]) -> list[bytes | None]:
         out = list(map(self.get, keys))
         if self.old:
             for i, x in enumerate(out):
                 if x is None and (y := self.old.get(keys[i])) is not None:
-                    out[i] = self[keys[i]] = y
+                    out[i] = y
+                    self.put(keys[i], y)
         return out
 
-    def turn(self) -> None:
-        if len(self) > self.size:
+    def put(self, key: str, data: bytes) -> None:
+        if self.held > self.size:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self[key] = data
+        self.held += _ENTRY + len(key) + len(data)
 
 
 class PieceEncoder:
@@ -94,12 +120,12 @@ class PieceEncoder:
 
     def _pack(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
-        cache.turn()
         out = cache.find(pieces)
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
             for i, data in zip(missing, self.packed([pieces[i] for i in missing]), strict=True):
-                cache[pieces[i]] = out[i] = data
+                out[i] = data
+                cache.put(pieces[i], data)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,26 +202,38 @@ def library_encoder(path: str, mode: str) -> PieceEncoder:
             def part(self, p: str) -> bytes:
                 data = self.parts.old.get(p)
                 if data is None:
-                    data = array(self.code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-                self.parts[p] = data
+                    data = array(self.code, [t.id for t in tokenize(p if p.isalpha() and p.isascii() else p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                self.parts.put(p, data)
                 return data
 
-            def packed(self, pieces: list[str]) -> list[bytes]:
-                self.parts.turn()
-                known, out, rest = self.parts.get, [], []
+            def _pack(self, pieces: list[str]) -> list[bytes]:
+                known, part, out, rest = self.parts.get, self.part, [], []
                 for i, x in enumerate(pieces if mode == "byte" else [x.lower() if x.isascii() else x for x in pieces]):
-                    if x.isascii() and x[mode == "byte" and x[:1] == " " :].isalpha() and len(x) <= 200:  # one part
-                        out.append(known(x) or self.part(x))
+                    data = known(x)
+                    if data:
+                        out.append(data)
+                    elif x.isascii() and x[mode == "byte" and x[:1] == " " :].isalpha() and len(x) <= 200:  # one part
+                        out.append(part(x))
                     elif len(x) > 200 or not _PLAIN.fullmatch(x) or "<|" in x and any(t in x for t in added):
                         rest.append(i)
                         out.append(b"")
                     else:
-                        out.append(b"".join([known(p) or self.part(p) for p in split(x if mode == "byte" else x.lower())]))
-                for i, data in zip(rest, super().packed([pieces[i] for i in rest]), strict=True):
+                        out.append(b"".join([known(p) or part(p) for p in split(x if mode == "byte" else x.lower())]))
+                for i, data in zip(rest, super()._pack([pieces[i] for i in rest]), strict=True):
                     out[i] = data
                 return out
 
-        _ENCODERS[path, mode] = LibraryEncoder(encode_many, mode, size)
+        class WholeEncoder(PieceEncoder):
+            """All texts through the library's whole pipeline."""
+
+            def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+                ids = self.encode_many(pc.fill_null(texts, "").to_pylist())
+                rows = np.fromiter(map(len, ids), np.int64, len(ids))
+                return np.fromiter((x for i in ids for x in i), self.dtype, int(rows.sum())), rows
+
+        with open(path, encoding="utf-8") as f:
+            kind = LibraryEncoder if is_of_mode(json.load(f), mode) else WholeEncoder
+        _ENCODERS[path, mode] = kind(encode_many, mode, size)
     return _ENCODERS[path, mode]
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged_path
+from .common import batched, shuffle_partitions, staged_path
 from .pieces import library_encoder, sliced, with_end
 
 SEGMENT_IDS = 1 << 20  # a segment ends at the first document that reaches so many ids
@@ -149,7 +149,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, mode: st
             yield pa.RecordBatch.from_pylist([_segments(bucket, first, keys, ids, width)], _SEGMENT_ARROW)
 
     (
-        docs.mapInArrow(encode, _ENCODED)
+        batched(docs)
+        .mapInArrow(encode, _ENCODED)
         .repartitionById(len(cuts) + 1, F.col("bucket"))
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
         .mapInArrow(build, _SEGMENT)
@@ -183,7 +184,7 @@ def read(spark, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32", "segment_bits", "segment_docs"],
                 )
 
-    return segments.select(*_SEGMENT_ARROW.names).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, segment_bits long, segment_docs long")
+    return batched(segments.select(*_SEGMENT_ARROW.names)).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, segment_bits long, segment_docs long")
 
 
 def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, mode: str = "word") -> DataFrame:
