@@ -5,16 +5,18 @@ for each kind. The method adds spans of kind "random": runs of 20 or more key ch
 overlap no base span and can't be told from random draws over their encoding's alphabet.
 
 For each such token the encoding is inferred from the characters it has (hex, base32, base36,
-base62, base64; at least a digit and a letter, since words have letters alone), and three tests
-of randomness are made over the places of its characters in the alphabet: chi-squared
-uniformity, runs above and below the middle, serial correlation at lag one. Their p-values are
-combined by Fisher's method. Tokens are rejected as not random by the Benjamini-Hochberg rule at
+base62, base64; at least a digit and a letter, since words have letters alone), and four tests
+of randomness are made: chi-squared uniformity over the alphabet, and over its digits, vowels,
+capital and small consonants and signs (which readable names fill unevenly however short they
+are); runs above and below the middle of the alphabet; serial correlation at lag one. Their
+p-values are combined by Fisher's method. Tokens are rejected as not random by the Benjamini-Hochberg rule at
 level Q inside each length class (longer tokens carry more evidence, so classes have thresholds
 of their own); the tokens that remain are reported. The rule needs the ranks of all p-values of
 the corpus: they are counted in bins of -log10 p, a table of bounded size.
 
 Positions are code points, end exclusive. A null text is empty. Rows are scanned one by one, so
-repeated rows and ids give one row each; an empty table gives no rows.
+repeated rows and ids give one row each. Very long texts and tokens are scanned in whole. Tokens
+that tie share a bin and so a verdict. Extra columns aren't read by scan() and kept by redact(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,26 +52,35 @@ ENCODINGS = [
 ]
 
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
+_TOKENS = "array<struct<start:int,kind:int,stop:int,token:string>>"
+# The characters of a class; what is in none of them is a sign.
+CHARACTERS = (DIGITS, "aeiouAEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "bcdfghjklmnpqrstvwxyz")
 
 
-def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """The spans of all matches of `pattern`; those whose `group` has under `least` characters are dropped."""
+def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, tokens: bool = False) -> Column:
+    """The spans of all matches of `pattern` (with `tokens`, and their text); those whose `group` has under
+    `least` characters are dropped."""
+    type_ = _TOKENS if tokens else _SPANS
 
     def of(parts: Column, found: Column, inner: Column) -> Column:
-        sizes = F.transform(times(F.size(found)), lambda i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(F.get(found, i)).alias("n"), (F.length(F.get(inner, i)) >= least).alias("ok")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+        own = lambda i: [F.get(found, i).alias("token")] if tokens else []
+        sizes = F.transform(times(F.size(found)), lambda i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(F.get(found, i)).alias("n"), (F.length(F.get(inner, i)) >= least).alias("ok"), *own(i)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(type_).alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + x["gap"]
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("stop"))
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("stop"), *([x["token"].alias("token")] if tokens else []))
             return F.struct((start + x["n"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
         return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    spans = let(F.split(text, pattern, -1), lambda p: let(found, lambda f: let(inner, lambda g: of(p, f, g))))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
+    parts = F.split(text, pattern, -1)
+    if group:
+        spans = let(parts, lambda p: let(found, lambda f: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: of(p, f, g))))
+    else:
+        spans = let(parts, lambda p: let(found, lambda f: of(p, f, f)))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(type_))
 
 
 def base_spans(text: Column) -> Column:
@@ -89,24 +100,34 @@ def p_random(token: Column) -> Column:
 
     def battery(letters: Column) -> Column:
         size, n = F.length(letters).cast("double"), F.length(token).cast("double")
-        places = F.transform(times(F.length(token)), lambda i: _place(letters, F.substr(token, i + 1, F.lit(1))))
-        return let(places, lambda v: _combined(v, size, n))
+        places = F.transform(F.split(token, ""), lambda c: (F.call_function("instr", letters, c) - 1).cast("double"))
+        return let(places, lambda v: _combined(v, size, n, _p_classes(token, letters, size, n)))
 
     usable = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
     return F.when(usable, let(alphabet, lambda a: F.when(a.isNotNull(), battery(a))))
 
 
-def _place(letters: Column, character: Column) -> Column:
-    return (F.call_function("instr", letters, character) - 1).cast("double")
+def _p_chi(chi: Column, df: Column) -> Column:
+    """P of chi-squared or more, by Wilson and Hilferty's cube root."""
+    spread = F.lit(2.0) / (9 * df)
+    return _p_of((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+
 
+def _p_classes(token: Column, letters: Column, size: Column, n: Column) -> Column:
+    """The p-value of the classes' counts, given how many characters of the alphabet are in each."""
+    has = lambda x, c: (F.length(x) - F.length(F.translate(x, c, ""))).cast("double")
+    every = "".join(CHARACTERS)
+    seen = [has(token, c) for c in CHARACTERS] + [n - has(token, every)]
+    share = [has(letters, c) / size for c in CHARACTERS] + [1 - has(letters, every) / size]
+    chi = sum((F.when(p > 0, F.pow(o - n * p, F.lit(2.0)) / (n * p)).otherwise(0.0) for o, p in zip(seen, share, strict=True)), F.lit(0.0))
+    df = sum(((p > 0).cast("double") for p in share), F.lit(-1.0))
+    return _p_chi(chi, F.greatest(df, F.lit(1.0)))
 
-def _combined(v: Column, size: Column, n: Column) -> Column:
+
+def _combined(v: Column, size: Column, n: Column, p_classes: Column) -> Column:
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     squares = total(F.transform(F.array_distinct(v), lambda x: F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), F.lit(2.0))))
-    df = size - 1
-    chi = squares * size / n - n
-    spread = F.lit(2.0) / (9 * df)
-    p_chi = _p_of((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+    p_chi = _p_chi(squares * size / n - n, size - 1)
 
     high = F.transform(v, lambda x: 2 * x >= size)
     n1 = F.size(F.filter(high, lambda x: x)).cast("double")
@@ -122,8 +143,8 @@ def _combined(v: Column, size: Column, n: Column) -> Column:
         return let(centred, lambda c: let(total(F.transform(c, lambda x: x * x)), lambda s: F.when(s > 0, total(F.transform(times(F.size(c) - 1), lambda i: F.get(c, i) * F.get(c, i + 1))) / F.greatest(s, F.lit(1e-9))).otherwise(F.lit(1.0))))
 
     p_serial = 2 * _p_of(F.abs(let(average, serial) + 1 / n) * F.sqrt(n))
-    logs = F.transform(F.array(p_chi, p_runs, p_serial), lambda p: -F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-30))))
-    return let(total(logs), lambda x: F.exp(-x) * (1 + x + x * x / 2))  # 6 degrees of freedom, at 2 x
+    logs = F.transform(F.array(p_chi, p_classes, p_runs, p_serial), lambda p: -F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-30))))
+    return let(total(logs), lambda x: F.exp(-x) * (1 + x + x * x / 2 + x * x * x / 6))  # 8 degrees of freedom, at 2 x
 
 
 def _candidates(text: Column, base: Column) -> Column:
@@ -135,14 +156,14 @@ def _candidates(text: Column, base: Column) -> Column:
         def judged(s: Column) -> Column:
             n = s["stop"] - s["start"]
             klass = sum(((n >= c).cast("int") for c in CLASSES), F.lit(0))
-            p = p_random(F.substr(text, s["start"] + 1, n))
+            p = p_random(s["token"])
             bin_ = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * 20), F.lit(BINS - 1)).cast("int")
             return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), klass.alias("klass"), bin_.alias("bin"))
 
         return F.filter(F.transform(free, judged), lambda c: c["bin"].isNotNull())
 
     empty = F.array().cast("array<struct<start:int,stop:int,klass:int,bin:int>>")
-    return F.when(text.rlike(TOKEN), let(matches(text, TOKEN, 3), of)).otherwise(empty)
+    return F.when(text.rlike(TOKEN), let(matches(text, TOKEN, 3, tokens=True), of)).otherwise(empty)
 
 
 def scanned(docs: DataFrame, text: Column) -> DataFrame:
