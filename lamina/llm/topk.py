@@ -2,23 +2,25 @@
 
 Components become integers floor(scale * x). The index holds blocks of vectors; in a block, every
 component has two impacts, its height above the block's minimum in that dimension and its depth
-below the maximum, quantised into LEVELS equal steps. The posting segment of a level holds all
-(dimension, vector) pairs of that quantised impact.
+below the maximum, quantised into at most LEVELS equal steps. A posting list holds the vectors of
+one dimension and kind of impact by descending level, cut into segments of equal level.
 
 For a block of queries, |q_d| times the height (q_d > 0) or depth (q_d < 0) adds up to the score,
-but for a constant. Segments are processed by descending level: each adds its lower edge to the
-accumulators of its vectors. What a vector may still gain is bounded: a pair that was seen by the
-width of a step, one that wasn't by the edge of the segments left. Segments are taken in batches
-of levels. Processing stops only where
-the bound proves that no other vector can reach the k-th best lower bound; the vectors that may are
-rescored exactly. So results are exact whatever the data; ties go to the smaller id.
+but for a constant. The segments of all lists are processed by descending level, in batches: each
+posting adds its quantised impact, times the query's weight, to the 64-bit accumulator of its
+vector. What a vector may still gain is bounded: by the width of a step for each posting that was
+seen, and by the highest level left for the weight of those that weren't. Processing stops only
+where this proves that all but a few vectors can't reach the k-th best lower bound, or with the
+last segment; the vectors that may are rescored exactly. So results are exact whatever the data;
+ties go to the smaller id.
+
+All sums are of 64-bit integers; a block whose sums could be beyond them is an error.
 
 Blocks of queries meet blocks of vectors (each pair is one row of two packed blocks, so tasks have
 bounded memory), and the best k of each pair are merged by query.
 
 Vectors that are null or empty, or that hold null or non-finite components, take no part; vectors
-meet those of their own length. Scores are 64-bit integers: vectors whose score could be beyond
-them are an error. Repeated ids are separate rows. An empty table gives
+meet those of their own length. Repeated ids are separate rows. Extra columns aren't read. An empty table gives
 no rows.
 """
 
@@ -33,36 +35,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import batched, staged
 
-LEVELS = 32
-#: Segments are processed in batches that begin at these levels; after each, the bound is tried.
-STOPS = (20, 12, 6, 0)
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 256
-#: Above this share of possible members, a block is rescored by one product of matrices.
-DENSE = 0.02
+LEVELS = 64
+BLOCK_VECTORS, BLOCK_QUERIES = 4096, 64
+#: After each of these shares of the levels, the bound is tried.
+TRIES = (0.75, 0.5, 0.35, 0.25, 0.15, 0.08)
+#: Processing stops where the possible members are at most so many times k.
+ENOUGH = 8
 
 
 class ImpactBlock:
-    """The postings of one block: quantised heights above the minimum, and depths below the maximum."""
+    """The posting lists of one block, in segments by descending quantised impact.
+
+    List d holds heights above the minimum of dimension d, list dims + d depths below its maximum:
+    `order[list]` are the vectors, `ends[list, level]` the end of the segment of `level`."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         low, high = vectors.min(axis=0), vectors.max(axis=0)
+        self.low, self.high = low, high
         self.step = max(1, -(-(int((high - low).max()) + 1) // LEVELS))
-        # Rows are dimensions by height, then by depth; the level of each vector.
-        self.levels = np.concatenate([(vectors - low) // self.step, (high - vectors) // self.step], axis=1).T
-
-    def segments(self, first: int, last: int, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of levels first to last - 1: their lower edges, and where they are."""
-        inside = (self.levels >= first) & (self.levels < last)
-        return (self.levels * self.step * inside).astype(kind), inside.astype(kind)
-
-
-def _largest(queries: np.ndarray, vectors: np.ndarray) -> int:
-    """A bound of all scores and of the sums on the way to them."""
-    top = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
-    return top(queries) * top(vectors) * queries.shape[1]
+        levels = np.concatenate([(vectors - low) // self.step, (high - vectors) // self.step], axis=1).T
+        self.top = int(levels.max())
+        self.order = np.argsort(-levels, axis=1, kind="stable").astype(np.int32)
+        self.sorted_levels = np.take_along_axis(levels, self.order, axis=1)
+        self.ends = np.stack([np.searchsorted(-row, -np.arange(self.top + 1), "right") for row in self.sorted_levels])
 
 
 def _integers(data: bytes, n: int, dims: int) -> np.ndarray:
@@ -70,40 +68,54 @@ def _integers(data: bytes, n: int, dims: int) -> np.ndarray:
     return np.frombuffer(data, "<i4" if len(data) == 4 * n * dims else "<i8").reshape(n, dims).astype(np.int64)
 
 
-def search_block(block: ImpactBlock, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _within_64_bits(queries: np.ndarray, vectors: np.ndarray) -> None:
+    top = lambda x: max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    if 4 * (top(queries) + 1) * (top(vectors) + 1) * max(1, queries.shape[1]) >= 1 << 63:
+        raise OverflowError("scores beyond 64 bits")
+
+
+def search_block(block: ImpactBlock, queries: np.ndarray, k: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Possible members of the exact top k, as (query row, vector row, score): every vector that
-    isn't among them is proven to score lower than k others."""
+    isn't among them is proven to score lower than k others. `seen` gets the number of postings that
+    were processed and of all postings with a weight."""
     n, q = len(block.vectors), len(queries)
-    high = _largest(queries, block.vectors)
-    if high >= 1 << 63:
-        raise OverflowError("scores beyond 64 bits")
-    # All bounds are sums of integers, which are exact below 2**24 in 32 bits and below 2**53 in 64.
-    bound = max((int(x) for x in np.abs(queries).sum(axis=1)), default=0) * (int(block.levels.max()) + 2) * block.step
-    if bound >= 1 << 53:
-        rows, members = (x.ravel() for x in np.indices((q, n)))
-        return rows, members, (queries @ block.vectors.T).ravel()
-    kind = np.float32 if bound < 1 << 24 else np.float64
-    weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(kind)
-    left = weight.sum(axis=1, keepdims=True) - np.zeros((q, n), kind)  # weight of what wasn't seen
-    total = weight.sum(axis=1, keepdims=True)
-    got = np.zeros((q, n), kind)  # lower edges of what was seen
-    k, last = min(k, n), int(block.levels.max()) + 1
-    for first in STOPS:
-        edges, inside = block.segments(first, last, kind)
-        got += weight @ edges
-        left -= weight @ inside
-        last = first
-        # Seen pairs gain less than a step, others less than the lower edge of this batch.
-        best = got + (block.step - 1) * (total - left)
-        best += kind(max(0, first * block.step - 1)) * left
-        alive = best >= np.partition(got, n - k, axis=1)[:, n - k, None]
-        if first == 0 or alive.mean() <= DENSE:
+    _within_64_bits(queries, block.vectors)
+    # A list's weight for each query: one of a dimension's two lists has none.
+    weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).T
+    total = weight.sum(axis=0)
+    k = min(k, n)
+    lists = [(i, w) for i, w in enumerate(weight) if w.any()]
+    # An accumulator is (lower edges of what was seen) * unit + (the weight of what was seen); where
+    # both don't fit into 64 bits, they have arrays of their own.
+    unit = int(total.max(initial=0)) + 1
+    joint = unit * unit * (block.top + 1) * block.step < 1 << 62
+    acc = np.zeros((n, q), np.int64)
+    met = None if joint else np.zeros((n, q), np.int64)
+    done, above = 0, block.top + 1
+    for first in [*(t for t in sorted({int(x * (block.top + 1)) for x in TRIES}, reverse=True) if t > 1), 1]:
+        for i, w in lists:
+            # The segments of levels first to above - 1, the highest level first.
+            begin, end = (block.ends[i, above] if above <= block.top else 0), block.ends[i, first] if first <= block.top else 0
+            ids = block.order[i, begin:end]
+            if len(ids):
+                impact = block.sorted_levels[i, begin:end] * block.step
+                acc[ids] += (impact * unit + 1 if joint else impact)[:, None] * w
+                if met is not None:
+                    met[ids] += w
+                done += len(ids) * int(np.count_nonzero(w))
+        above = min(above, first)
+        got, seen_weight = np.divmod(acc, unit) if met is None else (acc, met)
+        # Seen postings gain less than a step, the others are at most of level `above` - 1.
+        best = got + (block.step - 1) * seen_weight + (above * block.step - 1) * (total - seen_weight)
+        alive = best >= np.partition(got, n - k, axis=0)[n - k]
+        if alive.sum() <= ENOUGH * k * q:
             break
-    rows, members = np.nonzero(alive)
-    if alive.mean() > DENSE and high < 1 << 53:
-        score = (queries.astype(np.float64) @ block.vectors.T.astype(np.float64))[rows, members].astype(np.int64)
-    else:
-        score = np.einsum("ij,ij->i", queries[rows], block.vectors[members])
+    if seen is not None:
+        seen += [done, sum(n * int(np.count_nonzero(w)) for _, w in lists)]
+    members, rows = np.nonzero(alive)
+    score = np.empty(len(rows), np.int64)
+    for i in range(0, len(rows), 1 << 14):
+        score[i : i + (1 << 14)] = np.einsum("ij,ij->i", queries[rows[i : i + (1 << 14)]], block.vectors[members[i : i + (1 << 14)]])
     return rows, members, score
 
 
@@ -141,7 +153,7 @@ def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, s
     v = F.col(vector_column)
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(usable & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    return rows.mapInArrow(pack, f"{name} long, dims int, ids binary, data binary")
+    return batched(rows).mapInArrow(pack, f"{name} long, dims int, ids binary, data binary")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -165,7 +177,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
                 rows, found, score = rows[order], found[order], score[order]
                 place = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 keep = place < k
-                yield pd.DataFrame({"query_id": q_ids[rows[keep]], "q_row": r.q_block * (1 << 20) + rows[keep], "vec_id": found[keep], "score": score[keep]})
+                yield pd.DataFrame({"query_id": q_ids[rows[keep]], "q_block": np.full(int(keep.sum()), r.q_block), "q_row": rows[keep], "vec_id": found[keep], "score": score[keep]})
 
     # Each block of queries is sent to every block of the index: a stated query set against all rows.
     # Index blocks are dealt over salts, so that no task holds all of them.
@@ -173,6 +185,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     blocks = index.select("block", F.col("dims").alias("q_dims"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
     sent = asked.select("q_block", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     pairs = sent.join(blocks, ["q_dims", "salt"]).drop("q_dims", "salt").join(index, "block")
-    best = pairs.mapInPandas(search, "query_id long, q_row long, vec_id long, score long")
-    w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    best = batched(pairs).mapInPandas(search, "query_id long, q_block long, q_row long, vec_id long, score long")
+    w = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
