@@ -1,11 +1,14 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are counted: one of the target (texts labelled good), one
-of the raw corpus (all texts). A text's log importance weight is the mean over its n-grams of
-log(p_target / p_raw), times LENGTH, so that weights don't grow with the length of a text. The corpus is resampled by Gumbel top-k: every text gets its log weight
-plus a Gumbel draw (by its id), and the k highest are kept, which is sampling without replacement
-in proportion to the weights. k follows from the labels that did not train the target model: the
-cut on log weights that best tells good from bad there, and the number of all texts above it.
+of the raw corpus (all texts). A text's log importance weight is the sum over its n-grams of
+log(p_target / p_raw). The corpus is resampled by Gumbel top-k: every text gets its log weight,
+tempered, plus a Gumbel draw (by its id), and the k highest are kept, which is sampling without
+replacement in proportion to the tempered weights. A text's temperature is its number of n-grams
+over LENGTH, so that its weight is that of a text of LENGTH n-grams like it: otherwise a long text
+would outweigh all short ones by its length alone. k follows from the labels that did not train
+the target model: the cut on tempered log weights that best tells good from bad there, and the
+number of all texts above it.
 
 N-grams: word unigrams and bigrams, and bigrams of word shapes (case, digits, punctuation, and
 whether the word repeats the one before).
@@ -13,7 +16,8 @@ whether the word repeats the one before).
 Bounds: LABELS labelled rows at most are used, those with the lowest hash of their id; the models
 have BUCKETS numbers each. Counts and scores cover all rows and whole texts.
 
-A null text has no n-grams and the log weight 0. Rows are judged one by one, so repeated rows get
+A null or empty text has no n-grams and the log weight 0; long texts are read in whole, and extra
+columns of any name go along unread. Rows are judged one by one, so repeated rows get
 equal verdicts; a null id is drawn as 0. Without good or bad labels nothing is rejected; an empty
 table gives no rows. Texts that tie with the k-th are kept.
 """
@@ -35,7 +39,7 @@ from .words import mix, string_hashes, words_of
 BUCKETS = 1 << 14
 LABELS = 20_000
 SEED = 17
-LENGTH = 100  # weights are those of texts of so many n-grams
+LENGTH = 100  # n-grams of a text of temperature 1
 PRIOR = 20  # pseudo-counts of the target model in an average bucket
 
 
@@ -107,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int =
 
 
 def weighted(docs: DataFrame, ratio: np.ndarray, sampled: tuple, seed: int = SEED, whole: bool = False) -> DataFrame:
-    """doc_id, log_weight, score (with the Gumbel draw) and label (1 or 0 for held-out labels, else
+    """doc_id, log_weight, tempered, score (tempered with the Gumbel draw) and label (1 or 0 for held-out labels, else
     null); with `whole`, in a struct `_weight` beside all columns of docs as a struct `_row`."""
     ids, good, train = sampled
     held, verdict = ids[train == 0], good[train == 0]
@@ -119,16 +123,17 @@ def weighted(docs: DataFrame, ratio: np.ndarray, sampled: tuple, seed: int = SEE
                 part = batch.slice(i, j - i)
                 keys = part.column(key_at).fill_null(0).to_numpy(zero_copy_only=False)
                 row, bucket = features(part.column(text_at), len(ratio))
-                weight = LENGTH * np.bincount(row, ratio[bucket], minlength=j - i) / np.maximum(np.bincount(row, minlength=j - i), 1)
+                weight = np.bincount(row, ratio[bucket], minlength=j - i)
+                tempered = weight / (np.maximum(np.bincount(row, minlength=j - i), 1) / LENGTH)
                 at = np.minimum(np.searchsorted(held, keys), max(0, len(held) - 1))
                 known = (held[at] == keys) & part.column(key_at).is_valid().to_numpy(zero_copy_only=False) if len(held) else np.zeros(j - i, bool)
                 label = pa.array(np.where(known, verdict[at] if len(held) else 0, 0).astype(np.int32), mask=~known)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(text_at)), pa.array(weight), pa.array(weight + _gumbel(keys, seed)), label], [*part.schema.names[:text_at], "log_weight", "score", "label"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(text_at)), pa.array(weight), pa.array(tempered), pa.array(tempered + _gumbel(keys, seed)), label], [*part.schema.names[:text_at], "log_weight", "tempered", "score", "label"])
 
     picked = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    schema = StructType(picked.schema.fields[:-1]).add("log_weight", DoubleType()).add("score", DoubleType()).add("label", IntegerType())
+    schema = StructType(picked.schema.fields[:-1]).add("log_weight", DoubleType()).add("tempered", DoubleType()).add("score", DoubleType()).add("label", IntegerType())
     return batched(picked).mapInArrow(weigh, schema)
 
 
@@ -154,8 +159,9 @@ def kth_highest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> flo
 
 def cut_of(rows: DataFrame, column_weight: str, column_score: str, column_label: str) -> float:
     """The lowest score that is kept: that of the k-th highest."""
-    # Bounded by LABELS.
-    known = [(r.w, r.y) for r in rows.where(F.col(column_label).isNotNull()).select(F.col(column_weight).alias("w"), F.col(column_label).alias("y")).limit(4 * LABELS).collect()]
+    # One row for each label, LABELS at most: the mean weight of the rows of its id.
+    labelled = rows.where(F.col(column_label).isNotNull()).groupBy("doc_id").agg(F.avg(column_weight).alias("w"), F.max(column_label).alias("y"))
+    known = [(r.w, r.y) for r in labelled.collect()]
     w, y = np.array([x[0] for x in known]), np.array([x[1] for x in known])
     if not len(w) or y.all() or not y.any():
         return -np.inf
@@ -173,16 +179,16 @@ def cut_of(rows: DataFrame, column_weight: str, column_score: str, column_label:
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, score and kept for every document."""
+    """doc_id, log_weight, tempered, score and kept for every document."""
     ratio, sampled = fit(docs, labels)
     rows = staged(weighted(docs, ratio, sampled), "weights")
-    cut = cut_of(rows, "log_weight", "score", "label")
-    return rows.select("doc_id", "log_weight", "score", (F.col("score") >= F.lit(cut)).alias("kept"))
+    cut = cut_of(rows, "tempered", "score", "label")
+    return rows.select("doc_id", "log_weight", "tempered", "score", (F.col("score") >= F.lit(cut)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the resampling keeps, with all their columns."""
     ratio, sampled = fit(docs, labels)
     rows = staged(weighted(docs, ratio, sampled, whole=True), "weighted")
-    cut = cut_of(rows, "log_weight", "score", "label")
+    cut = cut_of(rows, "tempered", "score", "label")
     return rows.where(F.col("score") >= F.lit(cut)).select("_row.*")
