@@ -14,15 +14,18 @@ consecutive documents, in ascending doc_id order over (bucket, first_id):
 
 An Elias-Fano code of n non-decreasing numbers up to u keeps the low l = floor(log2(u / n)) bits
 of each number packed, and the high parts in unary: bit (high_i + i) is set. It takes
-n * (2 + l) bits at most, instead of 64 n, and number i is select(i) on the high bits.
+n * (2 + l) bits at most, instead of 64 n, and number i is select(i) on the high bits. *_ranks is
+its select directory: 32 bits for each 64 bytes of high bits.
 
 Null texts are empty documents (one end id). Rows with equal doc_id are kept, ordered by ids.
-An empty table gives an empty file. Extra columns are not read.
+An empty table gives an empty file. Long texts are encoded in whole, in a segment as large as they
+need. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +39,18 @@ from .pieces import library_encoder, sliced, with_end
 SEGMENT_IDS = 1 << 20  # a segment ends at the first document that reaches so many ids
 
 
+BLOCK = 64  # bytes of high bits that an entry of the select directory stands for
+#: The place of each one in each byte: row b, column j is that of the j-th one of b.
+_BIT = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
-    """A non-decreasing sequence of non-negative integers."""
+    """A non-decreasing sequence of non-negative integers; ranks is the stored select directory."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, ranks: bytes | None = None):
         self.n, self.low_bits = n, low_bits
         self.low, self.high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
-        self._ranks: np.ndarray | None = None
+        self._ranks: np.ndarray | None = np.frombuffer(ranks, "<u4") if ranks is not None else None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -67,30 +75,49 @@ class EliasFano:
         low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
         return (high << self.low_bits) + (low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
-    def select(self, i: int) -> int:
-        """Number i, by the ranks of the high bits' 64-byte blocks."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
+    def ranks(self) -> np.ndarray:
+        """The select directory: the ones before each 64-byte block of the high bits, and all ones."""
         if self._ranks is None:
-            ones = np.bitwise_count(np.pad(self.high, (0, -len(self.high) % 64)).reshape(-1, 64)).sum(axis=1)
-            self._ranks = np.concatenate([[0], np.cumsum(ones)])
-        block = int(np.searchsorted(self._ranks, i, "right")) - 1
-        ones = np.flatnonzero(np.unpackbits(self.high[block * 64 : block * 64 + 64], bitorder="little"))
-        high = block * 512 + int(ones[i - int(self._ranks[block])]) - i
-        low = 0
+            ones = np.bitwise_count(np.pad(self.high, (0, -len(self.high) % BLOCK)).reshape(-1, BLOCK)).sum(axis=1)
+            self._ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+        return self._ranks
+
+    def select(self, i: np.ndarray | int) -> np.ndarray | int:
+        """The number at place i, or the numbers at places i: the directory names the block, its bytes' counts the byte, and a
+        table the bit."""
+        if np.ndim(i) == 0:
+            return int(self.select(np.array([i]))[0])
+        i = np.asarray(i, np.int64)
+        if i.size and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError(i)
+        if not i.size:
+            return np.zeros(0, np.int64)
+        ranks = self.ranks()
+        block = np.searchsorted(ranks, i, "right") - 1
+        data = np.pad(self.high, (0, -len(self.high) % BLOCK)).reshape(-1, BLOCK)
+        used, of = np.unique(block, return_inverse=True)
+        counts = np.cumsum(np.bitwise_count(data[used]), axis=1, dtype=np.int64)
+        inside = i - ranks[block]
+        # Counts of all used blocks in one ascending row: a block's begin at (its place) * 8 * BLOCK.
+        row = (counts + np.arange(len(used))[:, None] * 8 * BLOCK).ravel()
+        at = np.searchsorted(row, inside + of * 8 * BLOCK, "right") - of * BLOCK
+        before = np.where(at > 0, counts[of, np.maximum(at - 1, 0)], 0)
+        high = (block * BLOCK + at) * 8 + _BIT[data[block, at], inside - before] - i
+        low = np.zeros(len(i), np.int64)
         for k in range(self.low_bits):
             bit = i * self.low_bits + k
-            low |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << k
+            low |= (self.low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << k
         return high << self.low_bits | low
 
     def size_bits(self) -> int:
+        """Bits of the code, without its select directory (a sixteenth of the high bits)."""
         return 8 * (len(self.low) + len(self.high))
 
 
 _ENCODED = "bucket int, doc_id long, ids binary"
-_SEGMENT = "bucket int, first_id long, n_docs long, n_ids long, id_bytes int, ids binary, end_bits int, end_low binary, end_high binary, n_null long, key_first long, key_bits int, key_low binary, key_high binary"
+_SEGMENT = "bucket int, first_id long, n_docs long, n_ids long, id_bytes int, ids binary, end_bits int, end_low binary, end_high binary, end_ranks binary, n_null long, key_first long, key_bits int, key_low binary, key_high binary, key_ranks binary"
 _SEGMENT_ARROW = pa.schema(
-    [("bucket", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("end_bits", pa.int32()), ("end_low", pa.binary()), ("end_high", pa.binary()), ("n_null", pa.int64()), ("key_first", pa.int64()), ("key_bits", pa.int32()), ("key_low", pa.binary()), ("key_high", pa.binary())]
+    [("bucket", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("end_bits", pa.int32()), ("end_low", pa.binary()), ("end_high", pa.binary()), ("end_ranks", pa.binary()), ("n_null", pa.int64()), ("key_first", pa.int64()), ("key_bits", pa.int32()), ("key_low", pa.binary()), ("key_high", pa.binary()), ("key_ranks", pa.binary())]
 )
 
 
@@ -105,8 +132,8 @@ def _segments(bucket: int, first: int, keys: list, ids: list[bytes], width: int)
     key = EliasFano.of(np.array(known, np.int64) - known[0] if known else [])
     return {
         "bucket": bucket, "first_id": first, "n_docs": len(ids), "n_ids": int(ends[-1]), "id_bytes": width, "ids": b"".join(ids),
-        "end_bits": end.low_bits, "end_low": end.low.tobytes(), "end_high": end.high.tobytes(),
-        "n_null": len(keys) - len(known), "key_first": known[0] if known else 0, "key_bits": key.low_bits, "key_low": key.low.tobytes(), "key_high": key.high.tobytes(),
+        "end_bits": end.low_bits, "end_low": end.low.tobytes(), "end_high": end.high.tobytes(), "end_ranks": end.ranks().tobytes(),
+        "n_null": len(keys) - len(known), "key_first": known[0] if known else 0, "key_bits": key.low_bits, "key_low": key.low.tobytes(), "key_high": key.high.tobytes(), "key_ranks": key.ranks().tobytes(),
     }
 
 
@@ -171,13 +198,13 @@ def read(spark, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.to_pylist():
-                end = EliasFano(s["n_docs"], s["end_bits"], s["end_low"], s["end_high"])
-                key = EliasFano(s["n_docs"] - s["n_null"], s["key_bits"], s["key_low"], s["key_high"])
-                ends = end.decode()
+                end = EliasFano(s["n_docs"], s["end_bits"], s["end_low"], s["end_high"], s["end_ranks"])
+                key = EliasFano(s["n_docs"] - s["n_null"], s["key_bits"], s["key_low"], s["key_high"], s["key_ranks"])
+                ends = end.select(np.arange(end.n))
                 starts = np.concatenate([[0], ends[:-1]])
                 data = memoryview(np.frombuffer(s["ids"], f"<u{s['id_bytes']}").astype("<u4")).cast("B")
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                keys = [None] * s["n_null"] + (key.decode() + s["key_first"]).tolist()
+                keys = [None] * s["n_null"] + (key.select(np.arange(key.n)) + s["key_first"]).tolist()
                 n = s["n_docs"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(starts + base[s["bucket"]] + s["first_id"]), pa.array(ends - starts), pa.array(crc, pa.int64()), pa.array(np.full(n, end.size_bits())), pa.array(np.full(n, n))],
@@ -187,6 +214,33 @@ def read(spark, path: str) -> DataFrame:
     return batched(segments.select(*_SEGMENT_ARROW.names)).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, segment_bits long, segment_docs long")
 
 
+def offsets(spark, path: str, ids: list[int]) -> DataFrame:
+    """doc_id, start and n_tokens of the documents with these ids, by binary search over select on the
+    keys and by two selects on the ends: no segment is unpacked and no token id read. Rows with equal
+    doc_id give a row each; ids that aren't in the file give none. `ids` goes to every task."""
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+    totals = sorted((r.bucket, r.n) for r in segments.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect())
+    base = dict(zip((b for b, _ in totals), np.concatenate([[0], np.cumsum([n for _, n in totals])]).tolist(), strict=False))
+    ids = sorted(set(ids))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                end = EliasFano(r["n_docs"], r["end_bits"], r["end_low"], r["end_high"], r["end_ranks"])
+                key = EliasFano(r["n_docs"] - r["n_null"], r["key_bits"], r["key_low"], r["key_high"], r["key_ranks"])
+                last = key.select(key.n - 1)
+                for x in ids[bisect_left(ids, r["key_first"]) : bisect_right(ids, r["key_first"] + last)]:
+                    at = bisect_left(range(key.n), x - r["key_first"], key=key.select)
+                    while at < key.n and key.select(at) == x - r["key_first"]:
+                        i = at + r["n_null"]
+                        start, stop = end.select(i - 1) if i else 0, end.select(i)
+                        yield pa.RecordBatch.from_pydict({"doc_id": [x], "start": [start + base[r["bucket"]] + r["first_id"]], "n_tokens": [stop - start]})
+                        at += 1
+
+    known = segments.where((F.col("n_docs") > F.col("n_null")) & (F.col("key_first") <= (ids[-1] if ids else -(1 << 63))))
+    return batched(known.drop("ids")).mapInArrow(find, "doc_id long, start long, n_tokens long")
+
+
 def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 2, mode: str = "word") -> DataFrame:
     """Write docs as a token file in the shared folder and return its documents as read back."""
     path = staged_path(docs.sparkSession, "tokens")
