@@ -6,7 +6,8 @@ rules that count: its verdict is `failed_bits & mask = 0`, so that another polic
 ablation of any rule, needs no further look at the texts.
 
 A null text has no words (so it fails words_min). Rows are judged one by one: repeated rows and
-ids, and null ids, are each kept or not by their own text; an empty table gives no rows.
+ids, and null ids, are each kept or not by their own text. Long texts are measured in whole; extra
+columns of any name go along with keep(). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .exprs import SPACES, WORD, let, long, times
 
 SYMBOLS = "#*$%&|<>"
@@ -91,7 +93,7 @@ def measurements(text: Column) -> dict[str, Column]:
 def _apart(docs: DataFrame) -> str:
     """A column name that docs doesn't have."""
     name = "_ledger"
-    while name in docs.columns:
+    while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
     return name
 
@@ -120,12 +122,21 @@ def _condition(rule: Rule, m: Column) -> Column:
     return out
 
 
+def store(docs: DataFrame) -> DataFrame:
+    """The stored ledger: doc_id, the measurements and failed_bits. The only look at the texts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return staged(_ledger_column(docs, "m").select("doc_id", "m.*"), "ledger")
+
+
+def verdicts(stored: DataFrame, policy: int = CURRENT) -> DataFrame:
+    """A stored ledger with base_failed and kept, a policy's verdict, from its bits alone."""
+    fails = lambda names: F.col("failed_bits").bitwiseAND(F.lit(mask(names))) != 0
+    return stored.withColumns({"base_failed": fails(BASE), "kept": ~fails(BASE) & ~fails(POLICIES[policy])})
+
+
 def ledger(docs: DataFrame, policy: int = CURRENT) -> DataFrame:
     """doc_id, the measurements, failed_bits, base_failed and kept (the policy's verdict)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    m = _ledger_column(docs, "m").select("doc_id", "m.*")
-    failed = F.col("failed_bits").bitwiseAND(F.lit(mask(BASE))) != 0
-    return m.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0))
+    return verdicts(store(docs), policy)
 
 
 def keep(docs: DataFrame, policy: int = CURRENT) -> DataFrame:
