@@ -9,7 +9,8 @@ from . import automaton, chat, importance, neardup, packing, rules, secrets, sha
 from .common import staged, table
 from .oracles import ORACLES
 
-SHARDS = 16
+#: Shards 0 to 15; every fourth one holds twice as much.
+WEIGHTS = [1.0, 1.0, 1.0, 2.0] * 4
 #: A conversation whose texts hold control strings of the template, besides those of the table.
 CONFLICT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -41,7 +42,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+    return sharding.shards(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ Each shard draws a number from a record's key; the record goes to the shard with
 records only into itself, about its share of them, and a removed one gives up only its own.
 
 A record's key is its doc_id (a null id has the key "-"). Repeated rows share a key and so a
-shard, but have slots of their own. A null text has size 1 and the checksum of nothing.
+shard, but have slots of their own, in order of the checksum and size of their texts. A null text has size 1
+and the checksum of nothing; long texts are read once, for both. Extra columns aren't read, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations

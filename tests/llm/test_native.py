@@ -157,3 +157,54 @@ def test_chat(spark):
         assert (o.n_turns, o.turns_sha256, o.loss_chars, o.loss_sha256) == (len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert formatted.where("conv_id = -4 and formatted like '#0%'").count() == 1
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_long_runs_of_backslashes_are_linear(spark):
+    run = "\\" * 40_000
+    text = run + "<s> [INST]" + run + "a" + run
+    df = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", run)], "conv_id long, turn long, role string, text string")
+    r = chat.digests(chat.format_conversations(df)).head()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256(f"assistant\n{text}\nuser\n{run}\n".encode()).hexdigest()
+
+
+def test_thousands_of_tokens_in_a_text(spark):
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    tokens = ["".join(rng.choice(letters) for _ in range(30)) for _ in range(3000)]
+    text = "é " + " ".join(tokens)
+    r = secrets.scan(frame(spark, [(1, text)])).head()
+    places = {f"random:{2 + 31 * i}:{2 + 31 * i + 30}" for i in range(3000)}
+    found = {x for x in r.spans.split(",") if x.startswith("random")}
+    assert found <= places and len(found) >= 0.9 * 3000
+
+
+def test_few_readable_identifiers_are_reported(spark):
+    """Of what is reported among 1,000 readable identifiers and 100 keys, at least 0.85 are keys, at a recall of 0.9."""
+    rng = random.Random(1)
+    words = "get user account balance list order item price total count find name address street city open close file read write start stop server client message queue handle error value index table column report".split()
+    rows = []
+    for i in range(1000):
+        some = [rng.choice(words) for _ in range(rng.randint(4, 6))]
+        joint = "_/-"[i % 3]
+        name = "".join(w.title() for w in some) if i % 4 == 0 else joint.join(some) + joint
+        rows.append((i, f"see {name}{rng.randrange(1, 3000)} for more"))
+    letters = string.ascii_letters + string.digits
+    rows += [(5000 + i, "key " + "".join(rng.choice(letters) for _ in range(rng.choice([24, 32, 40]))) + " end") for i in range(100)]
+    out = {r.doc_id: r.n_random > 0 for r in secrets.scan(frame(spark, rows)).collect()}
+    keys = sum(v for i, v in out.items() if i >= 5000)
+    assert keys >= 90 and keys >= 0.85 * sum(out.values())
+
+
+def test_keep_of_extra_columns_with_clashing_names(spark):
+    rows = [(1, "word " * 30 + "other words in here that do not repeat at all and make a document of some length " + " ".join(f"w{i}" for i in range(60)))]
+    df = frame(spark, rows, ("_LEDGER", "_ledger_", "N_WORDS"))
+    kept = rules.keep(df, 1)
+    assert kept.columns == df.columns and all(r["_LEDGER"] == 1 for r in kept.collect())
+
+
+def test_one_stored_ledger_serves_all_policies(spark):
+    stored = rules.store(frame(spark, list(enumerate(fuzz_texts()))))
+    for p in rules.POLICIES:
+        m = rules.mask(rules.POLICIES[p]) | 3
+        assert all(r.kept == (r.failed_bits & m == 0) for r in rules.verdicts(stored, p).collect())

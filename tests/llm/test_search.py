@@ -239,3 +239,49 @@ def test_pipeline(spark):
     from tokenizers import Tokenizer
 
     check_packed([(r.doc_id, r.text) for r in docs.collect()], out, Tokenizer.from_file(BYTE))
+
+
+def test_block_search_skips_postings_and_keeps_ties():
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-4, 5, (1500, 24))
+    vectors[:25] += 60
+    asked = np.abs(rng.integers(1, 9, (6, 24)))
+    seen = []
+    rows, members, score = topk.search_block(topk.ImpactBlock(vectors), asked, 5, seen)
+    assert 0 < seen[0] < 0.2 * seen[1]
+    exact = asked @ vectors.T
+    for q in range(6):
+        assert sorted(score[rows == q], reverse=True)[:5] == sorted(exact[q], reverse=True)[:5]
+    same = np.tile(rng.integers(-4, 5, (1, 8)), (300, 1))
+    rows, members, score = topk.search_block(topk.ImpactBlock(same), same[:2], 5)
+    assert len(rows) == 600 and len(set(score.tolist())) == 1
+    with pytest.raises(OverflowError):
+        topk.search_block(topk.ImpactBlock(same << 40), same[:2] << 40, 5)
+
+
+def test_log_weights_are_sums_of_log_ratios(spark):
+    from collections import Counter as C
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("good nice fine bad ### w1 W2".split()) for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(90, None), (91, "word " * 30_000), (3, "good nice"), (None, "fine")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids, good, train = importance.sample_labels(labels)
+    target = set(ids[(good == 1) & (train == 1)].tolist())
+    grams = lambda t: C(importance.features(pa.array([t], pa.string()))[1].tolist())
+    raw, chosen = C(), C()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in target:
+            chosen.update(grams(t))
+    n, b = sum(raw.values()), importance.BUCKETS
+    p = {g: (raw[g] + 1) / (n + b) for g in raw}
+    prior = importance.PRIOR * b
+    ratio = {g: np.log((chosen[g] + prior * p[g]) / (sum(chosen.values()) + prior)) - np.log(p[g]) for g in raw}
+    got = sorted((r.doc_id is not None, r.doc_id or 0, round(r.log_weight, 6), round(r.tempered, 6)) for r in importance.resample(df, labels).collect())
+    want = []
+    for i, t in rows:
+        g = grams(t)
+        w = sum(ratio[x] * c for x, c in g.items())
+        want.append((i is not None, i or 0, round(w, 6), round(w * importance.LENGTH / max(1, sum(g.values())), 6)))
+    assert np.allclose([x[2:] for x in got], [x[2:] for x in sorted(want)], atol=2e-6) and [x[:2] for x in got] == [x[:2] for x in sorted(want)]

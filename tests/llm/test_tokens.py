@@ -98,6 +98,43 @@ def test_elias_fano(n, top):
     assert code.size_bits() <= n * (3 + max(0, int(top // max(n, 1)).bit_length())) + 16
 
 
+@pytest.mark.parametrize("n,top", [(1, 5), (700, 3), (4000, 10**10), (9000, 9000)])
+def test_select_by_the_stored_directory(n, top):
+    values = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
+    code = tokenfile.EliasFano.of(values)
+    again = tokenfile.EliasFano(n, code.low_bits, code.low.tobytes(), code.high.tobytes(), code.ranks().tobytes())
+    assert again.select(np.arange(n)).tolist() == values.tolist()
+    assert again.select(np.arange(n)[::-3]).tolist() == values[::-3].tolist()
+    with pytest.raises(IndexError):
+        again.select(n)
+
+
+def test_offsets_of_some_documents(spark, tmp_path):
+    rng = random.Random(8)
+    rows = ROWS + [(i, "word " * rng.randint(0, 50)) for i in rng.sample(range(10, 10**6), 300)]
+    path = str(tmp_path / "tokens")
+    tokenfile.write(docs(spark, rows).repartition(3), path, WORD, 2)
+    some = [rows[40][0], 7, 4, rows[90][0], 999, -5]
+    want = sorted((i, s, n) for i, s, n, _ in brute_file(rows, Tokenizer.from_file(WORD), 2) if i in some)
+    assert sorted(map(tuple, tokenfile.offsets(spark, path, some).collect())) == want
+    assert tokenfile.offsets(spark, path, []).count() == 0
+
+
+def test_another_vocabulary_is_encoded_whole(tmp_path):
+    import json
+
+    spec = json.load(open(WORD, encoding="utf-8"))
+    spec["normalizer"] = None
+    path = str(tmp_path / "cased.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    x = ["The Quick fox", "", "a  b\nc", "ÉTÉ's 12"]
+    flat, rows = library_encoder(path, "word").encode(pa.array(x))
+    assert flat.tolist() == [i for e in Tokenizer.from_file(path).encode_batch(x, add_special_tokens=False) for i in e.ids]
+    assert rows.tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(x, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        automaton.tokenizer(path)
+
+
 def test_elias_fano_takes_near_minimal_space():
     ends = np.cumsum(np.random.default_rng(0).integers(1, 2000, 10_000))
     assert tokenfile.EliasFano.of(ends).size_bits() < 10_000 * 13
