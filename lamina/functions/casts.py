@@ -81,7 +81,10 @@ def to_integer(c: Column, have: T.DataType, bits: int) -> Column:
         whole = F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c))
         return wrap(whole.cast("long"), bits)
     if _is(have, T.DecimalType):
-        return wrap(F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("long"), bits)
+        whole = F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("decimal(38,0)")
+        over = F.lit(str(1 << 64)).cast("decimal(38,0)")
+        rest, half = whole % over, F.lit(str(1 << 63)).cast("decimal(38,0)")
+        return wrap(F.when(rest >= half, rest - over).when(rest < -half, rest + over).otherwise(rest).cast("long"), bits)
     if _is(have, T.DateType):
         return F.unix_date(c).cast({8: "byte", 16: "short", 32: "int", 64: "long"}[bits])
     if _is(have, T.TimestampType, T.TimestampNTZType):
@@ -147,8 +150,7 @@ def rescale(c: Column, from_unit: int, to_unit: int) -> Column:
     """An integer time from 1/from_unit to 1/to_unit seconds, toward zero."""
     if to_unit >= from_unit:
         return c * (to_unit // from_unit)
-    step = from_unit // to_unit
-    return F.when(c >= 0, F.floor(c / F.lit(step))).otherwise(-F.floor(-c / F.lit(step))).cast("long")
+    return F.call_function("div", c.cast("long"), F.lit(from_unit // to_unit).cast("long"))
 
 
 def cast(c: Column, have: T.DataType, want: T.DataType) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lamina.operators.sort import Key, limit, with_position, with_previous
+from lamina.operators.sort import Key, fresh, limit, with_position, with_previous
 
 
 def filter_rows(df: DataFrame, predicate: Column | str | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
@@ -30,13 +30,14 @@ def scan_while(df: DataFrame, predicate: Column, keys: Sequence[Key]) -> DataFra
 
     No sort: the first failing row is one aggregate, and the rows before it are a filter."""
     fails = df.where(~F.coalesce(predicate, F.lit(False)))
+    pos, last = fresh(df, "_pos", "_stop")
     if all(not k.descending and not k.nulls_first for k in keys):
         place = lambda: F.struct(*[x for k in keys for x in (F.col(k.path).isNull(), F.col(k.path))])
-        stop = fails.agg(F.min(place()).alias("_stop"))
-        return df.join(F.broadcast(stop), (place() < F.col("_stop")) | F.col("_stop").isNull()).drop("_stop")
-    placed = with_position(df, keys, "_pos")
-    stop = placed.where(~F.coalesce(predicate, F.lit(False))).agg(F.min("_pos").alias("_stop"))
-    return placed.join(F.broadcast(stop), (F.col("_pos") < F.col("_stop")) | F.col("_stop").isNull()).drop("_pos", "_stop")
+        stop = fails.agg(F.min(place()).alias(last))
+        return df.join(F.broadcast(stop), (place() < F.col(last)) | F.col(last).isNull()).drop(last)
+    placed = with_position(df, keys, pos)
+    stop = placed.where(~F.coalesce(predicate, F.lit(False))).agg(F.min(pos).alias(last))
+    return placed.join(F.broadcast(stop), (F.col(pos) < F.col(last)) | F.col(last).isNull()).drop(pos, last)
 
 
 def scan_while_index(df: DataFrame, n: int, keys: Sequence[Key]) -> DataFrame:
@@ -61,10 +62,13 @@ def transform(df: DataFrame, columns: dict[str, Column] | Callable[[pd.DataFrame
 
 def dedupe_consecutive(df: DataFrame, on: Sequence[str], keys: Sequence[Key]) -> DataFrame:
     """Drops rows that equal the row before them in the columns `on`; adds pos, the place in the input."""
-    with_prev = with_previous(df, keys, list(on), "_prev_", "pos")
+    prefix = "_prev_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    with_prev = with_previous(df, keys, list(on), prefix, "pos")
     same = F.lit(True)
     for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"_prev_{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
     return with_prev.where((F.col("pos") == 0) | ~same).select(*df.columns, "pos")
 
 
@@ -101,3 +105,8 @@ def rows_equal(a: Sequence[str], b: Sequence[str]) -> Column:
     for x, y in zip(a, b, strict=True):
         out = out & F.col(x).eqNullSafe(F.col(y))
     return out
+
+
+def to_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON object; null fields are there as null."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias(name))

@@ -74,56 +74,79 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get()
     return f"{base.rstrip('/')}/lamina/{uuid.uuid4().hex}"
 
 
-def _ranged(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, DataFrame]:
-    """(df sorted and tagged with its partition _part and place _at there, first position and last row of each partition)."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, or others like them, so that none is a column of df (Spark tells none apart by case)."""
+    prefix, there = "", [c.lower() for c in df.columns]
+    while any((prefix + n).lower() in there for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def _ranged(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """df sorted and tagged with its partition and place there; the first position and the last row before
+    each partition; the names of these columns (partition, place, first position, row before)."""
     spark, by = df.sparkSession, expressions(df, keys)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = shared_folder(spark)
     low = (1 << 33) - 1
-    tagged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(low)).alias("_at"))
+    part, at, n, last, first, before = names = fresh(df, "_part", "_at", "_n", "_last", "_first", "_before")
+    tagged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit(low)).alias(at))
     tagged.write.parquet(path)
     stored = spark.read.schema(tagged.schema).parquet(path)
-    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(*df.columns), "_at").alias("_last"))
+    sizes = stored.groupBy(part).agg(F.count(F.lit(1)).alias(n), F.max_by(F.struct(*df.columns), at).alias(last))
     # One row for each partition.
-    over = Window.orderBy("_part")
-    first = sizes.select("_part", (F.sum("_n").over(over) - F.col("_n")).alias("_first"), F.lag("_last").over(over).alias("_before"))
-    return stored, first
+    over = Window.orderBy(part)
+    starts = sizes.select(part, (F.sum(n).over(over) - F.col(n)).alias(first), F.lag(last).over(over).alias(before))
+    return stored, starts, [names[0], names[1], names[4], names[5]]
 
 
 def with_position(df: DataFrame, keys: Sequence[Key], name: str = "pos", start: int = 0) -> DataFrame:
     """Adds each row's position (start, start + 1, ...) in the order of the keys, which must be total."""
-    stored, first = _ranged(df, keys)
-    return stored.join(F.broadcast(first.select("_part", "_first")), "_part").select(*df.columns, (F.col("_first") + F.col("_at") + start).cast("bigint").alias(name))
+    stored, starts, (part, at, first, _) = _ranged(df, keys)
+    return stored.join(F.broadcast(starts.select(part, first)), part).select(*df.columns, (F.col(first) + F.col(at) + start).cast("bigint").alias(name))
 
 
 def with_previous(df: DataFrame, keys: Sequence[Key], columns: Sequence[str], prefix: str = "prev_", position: str = "pos") -> DataFrame:
     """Adds the position and the previous row's `columns` (null in the first row), also across partitions."""
-    stored, first = _ranged(df, keys)
-    over = Window.partitionBy("_part").orderBy("_at")
+    stored, starts, (part, at, first, before) = _ranged(df, keys)
+    over = Window.partitionBy(part).orderBy(at)
     own = stored.select("*", *[F.lag(c).over(over).alias(prefix + c) for c in columns])
-    joined = own.join(F.broadcast(first), "_part")
-    edge = F.col("_at") == 0
-    return joined.select(*df.columns, (F.col("_first") + F.col("_at")).cast("bigint").alias(position), *[F.when(edge, F.col(f"_before.{c}")).otherwise(F.col(prefix + c)).alias(prefix + c) for c in columns])
+    joined = own.join(F.broadcast(starts), part)
+    edge = F.col(at) == 0
+    return joined.select(*df.columns, (F.col(first) + F.col(at)).cast("bigint").alias(position), *[F.when(edge, F.col(f"{before}.{c}")).otherwise(F.col(prefix + c)).alias(prefix + c) for c in columns])
 
 
 def dedupe_sorted(df: DataFrame, keys: Sequence[Key], tie_break: Sequence[Key] = ()) -> DataFrame:
-    """The first row, by tie_break, of the rows that are equal in the keys.
+    """The first row, by tie_break, of the rows that are equal in the keys; without tie_break, by their
+    values (as JSON).
 
-    One aggregation that combines before the shuffle, so a hot key is no hot task."""
+    One aggregation that combines before the shuffle, so a hot key is no hot task; only a tie_break
+    of both directions takes a window."""
     if not keys:
         raise ValueError("duplicates are rows that are equal in the sorting columns; none are given")
     names = df.columns
-    if not tie_break or any(k.descending or k.nulls_first for k in tie_break):
-        over = Window.partitionBy(*[_value(df, k) for k in keys]).orderBy(*(expressions(df, tie_break) or [F.lit(0)]))
-        return df.withColumn("_rn", F.row_number().over(over)).where("_rn = 1").drop("_rn")
-    order = F.struct(*[x for k in tie_break for x in (_value(df, k).isNull(), _value(df, k))])
-    best = df.groupBy(*[_value(df, k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*names), order).alias("_row"))
+    down = {k.descending for k in tie_break}
+    if len(down) == 2:
+        rank = fresh(df, "_rn")[0]
+        over = Window.partitionBy(*[_value(df, k) for k in keys]).orderBy(*expressions(df, tie_break))
+        return df.withColumn(rank, F.row_number().over(over)).where(F.col(rank) == 1).drop(rank)
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    if not tie_break:
+        first = F.min_by(row, F.to_json(row))
+    else:
+        # Nulls are last where the flag is: with the lowest first, a null's is 1; with the highest, 0.
+        flag = lambda k: _value(df, k).isNull() if k.nulls_first == k.descending else _value(df, k).isNotNull()
+        order = F.struct(*[x for k in tie_break for x in (flag(k), _value(df, k))])
+        first = (F.max_by if down == {True} else F.min_by)(row, order)
+    best = df.groupBy(*[_value(df, k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first.alias("_row"))
     return best.select("_row.*")
 
 

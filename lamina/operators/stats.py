@@ -91,14 +91,21 @@ def search(index: DataFrame, probes: DataFrame, value: str = "value") -> DataFra
     return probes.join(found, value, "left").crossJoin(F.broadcast(n_pages)).select(value, F.coalesce("_page", "_pages").cast("bigint").alias("page"))
 
 
+def _next_character(c: Column) -> Column:
+    """The character after c in the order of code points, which is that of UTF-8 bytes."""
+    point = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+    after = F.when(point == 0xD7FF, 0xE000).otherwise(point + 1)  # no character between
+    return F.decode(F.unhex(F.lpad(F.hex(after), 8, "0")), "UTF-32")
+
+
 def truncated_bounds(df: DataFrame, column: str, size: int) -> DataFrame:
-    """Bounds of a text column cut to `size` characters; the upper one's last character is raised,
-    so that it still is one (a last character that is the highest stays)."""
+    """Bounds of a text column cut to `size` characters. The upper one, where it is cut, ends in a raised
+    character, so that it still is a bound: the last one that can be raised, or null if none can."""
     b = bounds(df, column)
-    cut = F.substring("max_value", 1, size)
-    last = F.unicode_point(F.right(cut, F.lit(1))) if hasattr(F, "unicode_point") else F.ascii(F.right(cut, F.lit(1)))
-    raised = F.concat(F.substring("max_value", 1, size - 1), F.char(last + 1))
-    return b.select(F.substring("min_value", 1, size).alias("min_value"), F.when((F.length("max_value") > size) & (last < 127), raised).otherwise(cut).alias("max_value"))
+    kept = F.rtrim(F.substring("max_value", 1, size), F.lit(chr(0x10FFFF)))
+    raised = F.when(F.length(kept) > 0, F.concat(F.substr(kept, F.lit(1), F.length(kept) - 1), _next_character(F.right(kept, F.lit(1)))))
+    upper = F.when(F.length("max_value") > size, raised).otherwise(F.col("max_value"))
+    return b.select(F.substring("min_value", 1, size).alias("min_value"), upper.alias("max_value"))
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -5,6 +5,7 @@ Operators that look at earlier rows keep their state by key."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -20,7 +21,9 @@ def dedupe_consecutive(stream: DataFrame, group: str, on: Sequence[str], order:
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        values = rows[list(on)].astype(str).agg("\x1f".join, axis=1)
+        # JSON keeps columns apart, and null from any text.
+        own = [[None if pd.isna(x) else str(x) for x in rows[c]] for c in on]
+        values = pd.Series([json.dumps(x) for x in zip(*own, strict=True)], index=rows.index, dtype=object)
         before = values.shift(1)
         before.iloc[0] = state.get[0] if state.exists else None
         kept = rows[values.ne(before)]
