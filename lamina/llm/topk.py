@@ -8,7 +8,7 @@ one dimension and kind of impact by descending level, cut into segments of equal
 For a block of queries, |q_d| times the height (q_d > 0) or depth (q_d < 0) adds up to the score,
 but for a constant. The segments of all lists are processed by descending level, in batches: each
 posting adds its quantised impact, times the query's weight, to the 64-bit accumulator of its
-vector. What a vector may still gain is bounded: by the width of a step for each posting that was
+vector (in 32 bits where the bounds of a block allow that). What a vector may still gain is bounded: by the width of a step for each posting that was
 seen, and by the highest level left for the weight of those that weren't. Processing stops only
 where this proves that all but a few vectors can't reach the k-th best lower bound, or with the
 last segment; the vectors that may are rescored exactly. So results are exact whatever the data;
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import batched, staged
 
-LEVELS = 64
+LEVELS = 128
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 64
 #: After each of these shares of the levels, the bound is tried.
-TRIES = (0.75, 0.5, 0.35, 0.25, 0.15, 0.08)
+TRIES = (0.6, 0.3, 0.2)
 #: Processing stops where the possible members are at most so many times k.
 ENOUGH = 8
 
@@ -88,8 +88,9 @@ def search_block(block: ImpactBlock, queries: np.ndarray, k: int, seen: list | N
     # An accumulator is (lower edges of what was seen) * unit + (the weight of what was seen); where
     # both don't fit into 64 bits, they have arrays of their own.
     unit = int(total.max(initial=0)) + 1
-    joint = unit * unit * (block.top + 1) * block.step < 1 << 62
-    acc = np.zeros((n, q), np.int64)
+    most = unit * unit * (block.top + 1) * block.step  # what a joint accumulator holds at most
+    joint, kind = most < 1 << 62, np.int32 if most < 1 << 31 else np.int64
+    acc = np.zeros((n, q), kind)
     met = None if joint else np.zeros((n, q), np.int64)
     done, above = 0, block.top + 1
     for first in [*(t for t in sorted({int(x * (block.top + 1)) for x in TRIES}, reverse=True) if t > 1), 1]:
@@ -99,12 +100,12 @@ def search_block(block: ImpactBlock, queries: np.ndarray, k: int, seen: list | N
             ids = block.order[i, begin:end]
             if len(ids):
                 impact = block.sorted_levels[i, begin:end] * block.step
-                acc[ids] += (impact * unit + 1 if joint else impact)[:, None] * w
+                acc[ids] += (impact * unit + 1 if joint else impact).astype(kind)[:, None] * w.astype(kind)
                 if met is not None:
                     met[ids] += w
                 done += len(ids) * int(np.count_nonzero(w))
         above = min(above, first)
-        got, seen_weight = np.divmod(acc, unit) if met is None else (acc, met)
+        got, seen_weight = np.divmod(acc.astype(np.int64), unit) if met is None else (acc, met)
         # Seen postings gain less than a step, the others are at most of level `above` - 1.
         best = got + (block.step - 1) * seen_weight + (above * block.step - 1) * (total - seen_weight)
         alive = best >= np.partition(got, n - k, axis=0)[n - k]
