@@ -17,7 +17,7 @@ ties go to the smaller id.
 All sums are of 64-bit integers; a block whose sums could be beyond them is an error.
 
 Blocks of queries meet blocks of vectors (each pair is one row of two packed blocks, so tasks have
-bounded memory), and the best k of each pair are merged by query.
+bounded memory); a task merges the best k of its pairs by query, and these are merged once more.
 
 Vectors that are null or empty, or that hold null or non-finite components, take no part; vectors
 meet those of their own length. Repeated ids are separate rows. Extra columns aren't read. An empty table gives
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import batched, staged
 
 LEVELS = 128
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 64
+BLOCK_VECTORS, BLOCK_QUERIES = 2048, 128
+HELD_BLOCKS = 256  # blocks of queries whose best k a task holds while it goes through blocks of vectors
 #: After each of these shares of the levels, the bound is tried.
 TRIES = (0.6, 0.3, 0.2)
 #: Processing stops where the possible members are at most so many times k.
@@ -165,6 +166,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[int | None, ImpactBlock | None] = (None, None)
+        best: dict[int, np.ndarray] = {}  # per block of queries: (query row, query id, vector id, score) of the best k
+
+        def given() -> Iterator[pd.DataFrame]:
+            for q_block, x in best.items():
+                yield pd.DataFrame({"query_id": x[1], "q_block": q_block, "q_row": x[0], "vec_id": x[2], "score": x[3]})
+            best.clear()
+
         for frame in frames:
             for r in frame.itertuples(index=False):
                 ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
@@ -172,13 +180,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
                     held = (r.block, ImpactBlock(_integers(r.data, len(ids), r.dims)))
                 asked = _integers(r.q_data, len(q_ids), r.dims)
                 rows, members, score = search_block(held[1], asked, k + int(np.unique(ids, return_counts=True)[1].max()))
-                own = q_ids[rows] == ids[members]
-                rows, found, score = rows[~own], ids[members[~own]], score[~own]
-                order = np.lexsort((found, -score, rows))
-                rows, found, score = rows[order], found[order], score[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                keep = place < k
-                yield pd.DataFrame({"query_id": q_ids[rows[keep]], "q_block": np.full(int(keep.sum()), r.q_block), "q_row": rows[keep], "vec_id": found[keep], "score": score[keep]})
+                other = q_ids[rows] != ids[members]
+                rows, members = rows[other], members[other]
+                new = np.stack([rows, q_ids[rows], ids[members], score[other]])
+                both = np.concatenate([best[r.q_block], new], axis=1) if r.q_block in best else new
+                both = both[:, np.lexsort((both[2], -both[3], both[0]))]
+                best[r.q_block] = both[:, np.arange(both.shape[1]) - np.searchsorted(both[0], both[0]) < k]
+                if len(best) > HELD_BLOCKS:
+                    yield from given()
+        yield from given()
 
     # Each block of queries is sent to every block of the index: a stated query set against all rows.
     # Index blocks are dealt over salts, so that no task holds all of them.
