@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 # mark that stands for line ends here.
 _MARK = "\x01"
 _WHOLE = r"\s[ \n]\s|\s[ \n]\z|[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CACHE_PIECES, CACHE_PARTS = 16 << 20, 64 << 20  # bytes of a generation of each cache
+CACHE_PIECES, CACHE_PARTS = 64 << 20, 64 << 20  # bytes of a generation of each cache
 _ENTRY = 200  # bytes of an entry besides its text and ids
 # The split patterns of the two modes for texts of ASCII and Latin-1 letters, which are in normal
 # form, and the characters that stand for bytes that aren't printable.
