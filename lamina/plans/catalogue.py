@@ -397,14 +397,6 @@ def order_of_column(spark, sf_dir):
     return stats.order_of(t(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), "o_totalprice", [ascending("o_orderkey")])
 
 
-@query("""WITH p AS (SELECT pos // 256 AS page, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) GROUP BY 1),
-          q AS (SELECT DISTINCT l_orderkey + 500000 * (l_orderkey % 2) AS value FROM lineitem WHERE l_orderkey % 97 = 0)
-          SELECT value, coalesce((SELECT min(page) FROM p WHERE value BETWEEN lo AND hi), (SELECT count(*) FROM p)) AS page FROM q""")
-def page_search(spark, sf_dir):
-    probes = t(spark, sf_dir, "lineitem", "l_orderkey").where("l_orderkey % 97 = 0").select((F.col("l_orderkey") + 500000 * (F.col("l_orderkey") % 2)).alias("value")).distinct()
-    return stats.search(_order_pages(spark, sf_dir), probes)
-
-
 @query("""WITH p AS (SELECT pos // 256 AS page, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders) GROUP BY 1),
           q AS (SELECT DISTINCT l_orderkey + 500000 * (l_orderkey % 2) AS value FROM lineitem)
           SELECT value, coalesce((SELECT min(page) FROM p WHERE value BETWEEN lo AND hi), (SELECT count(*) FROM p)) AS page FROM q""")
@@ -431,13 +423,6 @@ def membership_exact(spark, sf_dir):
     return membership.member_of(t(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), brand, "l_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 7 = 0)")
-def bloom_write_roundtrip(spark, sf_dir):
-    p = _written(spark, t(spark, sf_dir, "part"), bloom={"p_name": 20000}, plain=["p_name"])
-    names = p.where("p_partkey % 7 = 0").select("p_name")
-    return membership.member_of(p, names, "p_name").select("p_partkey")
-
-
 @query("SELECT p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part)")
 def bloom_write_roundtrip_all(spark, sf_dir):
     p = _written(spark, t(spark, sf_dir, "part"), bloom={"p_name": 20000}, plain=["p_name"])
@@ -469,12 +454,6 @@ def dictionary_decode(spark, sf_dir):
     return dictionary.decode(dictionary.encode(t(spark, sf_dir, "events", "event_id", "event_type"), "event_type", d), d).select("event_id", "value")
 
 
-@query("SELECT min(event_type) AS min_value, max(event_type) AS max_value FROM events WHERE event_id < 3")
-def dictionary_bounds(spark, sf_dir):
-    d = _dictionary(spark, sf_dir)
-    return dictionary.bounds(dictionary.encode(t(spark, sf_dir, "events", "event_id", "event_type").where("event_id < 3"), "event_type", d), d)
-
-
 @query("SELECT min(event_type) AS min_value, max(event_type) AS max_value FROM events")
 def dictionary_bounds_all(spark, sf_dir):
     d = _dictionary(spark, sf_dir)
