@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lamina.operators.sort import Key, shared_folder, with_position, with_previous
 
-PROBES = 10_000  # probes that are broadcast at once
+PROBES = 10_000  # probes that are broadcast at most
+BITS, TOP = 4, 3  # the children of a node of positions, as a power of two; the levels that are broadcast
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,22 +74,71 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _cover(lo: Column, hi: Column, levels: int) -> Column:
+    """The nodes (level, node) that hold the positions from lo to hi and no others. A node of a level
+    holds 2 ** (BITS * level) positions; what whole nodes of the level above hold is left to that level."""
+    none = F.array().cast("array<bigint>")
+    begin = lambda level: F.shiftright(lo + ((1 << BITS * level) - 1), BITS * level)
+    end = lambda level: F.shiftright(hi + 1, BITS * level)
+
+    def nodes(level: int) -> list[Column]:
+        a, b = begin(level), end(level)
+        left, right = F.shiftleft(begin(level + 1), BITS), F.shiftleft(end(level + 1), BITS)
+        runs = ((a, F.least(left, b)), (F.greatest(left, right), b))
+        some = [F.when(start < stop, F.sequence(start, stop - 1)).otherwise(none) for start, stop in runs]
+        return [F.transform(x, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node"))) for x in some]
+
+    return F.flatten(F.array(*[x for level in range(levels) for x in nodes(level)]))
+
+
+def _first_holding(pages: DataFrame, values: DataFrame) -> DataFrame:
+    """(_value, _page): the first page that holds each value, where one does. pages: (_id, page, min_value,
+    max_value); values: distinct, not null.
+
+    Bounds and values are numbered in one order (at equal values lower bounds come first, upper ones
+    last), so a page holds the values of a run of positions. The run is cut into nodes of a tree of
+    positions, a node keeps its first page, and a value meets the nodes above it by equality. The few
+    nodes near the root, which many values share, are broadcast (under 2 * 2 ** (BITS * TOP) rows);
+    a node below them holds at most a share of 2 ** -(BITS * (TOP - 1)) of all positions."""
+    pages = pages.where("min_value <= max_value")
+    edge = lambda c, kind: pages.select(F.col(c).alias("_value"), F.lit(kind).alias("_kind"), "_id", "page")
+    points = values.select("_value", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("bigint").alias("page"))
+    ends = edge("min_value", 0).unionByName(points).unionByName(edge("max_value", 2))
+    placed = _stored(with_position(ends, [Key("_value"), Key("_kind"), Key("_id")], "_pos"))
+    levels = max(TOP, -(-placed.count().bit_length() // BITS) + 1)
+    low = levels - TOP
+    runs = placed.where("_kind <> 1").groupBy("_id").agg(F.first("page").alias("page"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi"))
+    nodes = runs.select("page", F.explode(_cover(F.col("lo"), F.col("hi"), levels)).alias("n")).groupBy("n.level", "n.node").agg(F.min("page").alias("_page"))
+    nodes = _stored(nodes)
+    above = lambda c, first, last: F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(c, BITS * (k - first)).alias("node")) for k in range(first, last)]))
+    tops = nodes.sparkSession.range(1 << (BITS * TOP)).select(F.col("id").alias("top"), above(F.col("id"), low, levels).alias("n")).select("top", "n.*")
+    tops = tops.join(F.broadcast(nodes.where(F.col("level") >= low)), ["level", "node"]).groupBy("top").agg(F.min("_page").alias("_page"))
+    points = placed.where("_kind = 1").select("_value", "_pos")
+    found = points.withColumn("top", F.shiftright("_pos", BITS * low)).join(F.broadcast(tops), "top").select("_value", "_page")
+    if low:
+        below = points.select("_value", above(F.col("_pos"), 0, low).alias("n")).select("_value", "n.*")
+        found = found.unionByName(below.join(nodes.where(F.col("level") < low), ["level", "node"]).select("_value", "_page"))
+    return found.groupBy("_value").agg(F.min("_page").alias("_page"))
+
+
 def search(index: DataFrame, probes: DataFrame, value: str = "value") -> DataFrame:
-    """For each probe, the first page whose bounds hold it; the number of pages if none does.
+    """For each probe, the first page whose bounds hold it; the number of pages if none does, or if it is null.
 
-    Probes are broadcast in blocks of at most PROBES rows. Pages and probes are written to the shared
-    folder once, so that a block reads them and doesn't make them anew."""
-    index, probes = _stored(index.select("page", "min_value", "max_value", "null_page")), _stored(probes)
-    n = probes.count()
+    Up to PROBES probes are broadcast to the pages; more meet them by way of a tree of positions,
+    whose work grows with pages plus probes (times the tree's height). Pages and probes are written
+    to the shared folder once."""
+    index = _stored(index.select("page", "min_value", "max_value", "null_page", F.monotonically_increasing_id().alias("_id")))
+    probes = _stored(probes)
     n_pages = index.agg(F.count(F.lit(1)).alias("_pages"))
-    blocks = -(-n // PROBES) or 1
-    pages = index.where(~F.col("null_page")).select("page", "min_value", "max_value")
-    found = None
-    for b in range(blocks):
-        part = probes if blocks == 1 else probes.where(F.pmod(F.xxhash64(value), F.lit(blocks)) == b)
-        hit = pages.join(F.broadcast(part), F.col(value).between(F.col("min_value"), F.col("max_value"))).groupBy(value).agg(F.min("page").alias("_page"))
-        found = hit if found is None else found.unionByName(hit)
-    return probes.join(found, value, "left").crossJoin(F.broadcast(n_pages)).select(value, F.coalesce("_page", "_pages").cast("bigint").alias("page"))
+    pages = index.where(~F.col("null_page")).drop("null_page")
+    values = probes.select(F.col(value).alias("_value")).where("_value IS NOT NULL")
+    if probes.count() <= PROBES:
+        hit = pages.join(F.broadcast(values), F.col("_value").between(F.col("min_value"), F.col("max_value")))
+        found = hit.groupBy("_value").agg(F.min("page").alias("_page"))
+    else:
+        found = _first_holding(pages, values.distinct())
+    joined = probes.join(found, F.col(value) == F.col("_value"), "left")
+    return joined.crossJoin(F.broadcast(n_pages)).select(value, F.coalesce("_page", "_pages").cast("bigint").alias("page"))
 
 
 def _next_character(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import numpy as np
 import pytest
@@ -271,3 +272,23 @@ def test_stream_deduplication(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.k for r in spark.table("deduped").collect()) == [0, 3, 6, 9]
+
+
+@pytest.mark.parametrize("top", [1, 3])
+def test_search_among_overlapping_pages(spark, monkeypatch, top):
+    monkeypatch.setattr(stats, "PROBES", 3)
+    monkeypatch.setattr(stats, "TOP", top)
+    rng = random.Random(top)
+    pages = []
+    for page in range(300):
+        a = rng.choice([rng.randrange(2000), 500])
+        pages.append((page, a, a + rng.choice([0, 1, 7, 60, 900]), False))
+    pages += [(300, None, None, True), (301, 90, 80, False), (302, 5000, 6000, False)]
+    rng.shuffle(pages)
+    values = [*range(-3, 3100), 500, 500, 5000, 5999, 6000, 6001, None]
+    index = spark.createDataFrame(pages, "page long, min_value int, max_value int, null_page boolean").repartition(3)
+    probes = spark.createDataFrame([(v,) for v in values], "value long").repartition(3)
+    held = lambda v: min((p for p, a, b, null in pages if v is not None and not null and a <= v <= b), default=len(pages))
+    got = sorted(((r.value, r.page) for r in stats.search(index, probes).collect()), key=str)
+    assert got == sorted(((v, held(v)) for v in values), key=str)
+    assert stats.search(index.limit(0), probes).where("page <> 0").isEmpty()
