@@ -16,8 +16,10 @@ ties go to the smaller id.
 
 All sums are of 64-bit integers; a block whose sums could be beyond them is an error.
 
-Blocks of queries meet blocks of vectors (each pair is one row of two packed blocks, so tasks have
-bounded memory); a task merges the best k of its pairs by query, and these are merged once more.
+Groups of blocks of queries meet groups of blocks of vectors in cells. A block travels once for each
+cell of its group, in no join and through no broadcast; a task holds the queries of one cell, of
+HELD_BYTES or so, while the cell's vectors pass block by block. It gives the best k of a cell by
+query, and these are merged once more.
 
 Vectors that are null or empty, or that hold null or non-finite components, take no part; vectors
 meet those of their own length. Repeated ids are separate rows. Extra columns aren't read. An empty table gives
@@ -32,14 +34,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, staged
+from .common import batched, shuffle_partitions, staged
 
 LEVELS = 128
 BLOCK_VECTORS, BLOCK_QUERIES = 2048, 128
-HELD_BLOCKS = 256  # blocks of queries whose best k a task holds while it goes through blocks of vectors
+HELD_BYTES = 16 << 20  # queries of a cell, with their best k, that a task holds while the cell's vectors pass
 #: After each of these shares of the levels, the bound is tried.
 TRIES = (0.6, 0.3, 0.2)
 #: Processing stops where the possible members are at most so many times k.
@@ -126,9 +128,9 @@ def _packed_integers(x: np.ndarray) -> bytes:
     return (narrow if (narrow == x).all() else x.astype("<i8")).tobytes()
 
 
-def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, size: int, name: str) -> DataFrame:
+def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, size: int) -> DataFrame:
     """Blocks of at most `size` vectors of equal length, in the order of the input's partitions:
-    (name, dims, ids, data), with ids as little-endian 64-bit integers and data as 32-bit ones, or 64-bit ones where they need it."""
+    (block, dims, ids, data), with ids as little-endian 64-bit integers and data as 32-bit ones, or 64-bit ones where they need it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,7 +149,7 @@ def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, s
                 x = x.astype(np.int64)
                 for i in range(0, len(pick), size):
                     yield pa.RecordBatch.from_pydict({
-                        name: pa.array([(part << 32) + count], pa.int64()), "dims": pa.array([dims], pa.int32()),
+                        "block": pa.array([(part << 32) + count], pa.int64()), "dims": pa.array([dims], pa.int32()),
                         "ids": pa.array([ids[pick[i : i + size]].astype("<i8").tobytes()], pa.binary()), "data": pa.array([_packed_integers(x[i : i + size])], pa.binary()),
                     })
                     count += 1
@@ -155,47 +157,78 @@ def packed(vectors: DataFrame, id_column: str, vector_column: str, scale: int, s
     v = F.col(vector_column)
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(usable & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    return batched(rows).mapInArrow(pack, f"{name} long, dims int, ids binary, data binary")
+    return batched(rows).mapInArrow(pack, "block long, dims int, ids binary, data binary")
+
+
+def _dealt(blocks: DataFrame, parts: int, groups: int) -> Column:
+    """The group of a block: blocks are numbered inside partitions, and taken in turns of the `parts` partitions."""
+    number = F.col("block").bitwiseAND((1 << 32) - 1) * parts + F.shiftright("block", 32)
+    return F.pmod(number, F.lit(groups)).cast("int")
+
+
+def _cells(index: DataFrame, asked: DataFrame, k: int, tasks: int) -> tuple[DataFrame, int]:
+    """(cell, kind, block, dims, ids, data): the blocks of queries (kind 0) and of vectors (kind 1) of each
+    cell, and the number of cells.
+
+    There are as many groups of queries as HELD_BYTES asks for, and cells for all tasks. Beyond that,
+    groups are chosen so that both sides travel about as many bytes."""
+    sizes = (F.count(F.lit(1)), F.sum(F.length("data")), F.max(F.shiftright("block", 32)), F.sum(F.length("ids")))
+    (n, size, last, _), (q_n, q_size, q_last, q_ids) = ([x or 0 for x in t.agg(*sizes).first()] for t in (index, asked))
+    share = max(q_size, 1) / max(size, 1)
+    held = q_size + 4 * k * q_ids  # a query's id has 8 bytes, each of its best k 32
+    q_groups = min(max(1, q_n), max(1, -(-held // HELD_BYTES), round((tasks * share) ** 0.5)))
+    groups = min(max(1, n), max(1, -(-tasks // q_groups), round(q_groups / share)))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    sent = index.withColumns({"kind": F.lit(1), "h": every(q_groups), "g": _dealt(index, last + 1, groups)})
+    asks = asked.withColumns({"kind": F.lit(0), "g": every(groups), "h": _dealt(asked, q_last + 1, q_groups)})
+    cell = (F.col("h").cast("long") * groups + F.col("g")).alias("cell")
+    return sent.unionByName(asks).select(cell, "kind", "block", "dims", "ids", "data"), q_groups * groups
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries`, the k highest scores among the
     other ids of `vectors` of its length."""
-    index = staged(packed(vectors, id_column, vector_column, scale, BLOCK_VECTORS, "block"), "index")
-    asked = staged(packed(queries, id_column, vector_column, scale, BLOCK_QUERIES, "q_block"), "asked")
+    index = staged(packed(vectors, id_column, vector_column, scale, BLOCK_VECTORS), "index")
+    asked = staged(packed(queries, id_column, vector_column, scale, BLOCK_QUERIES), "asked")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[int | None, ImpactBlock | None] = (None, None)
+        cell: int | None = None
+        held: dict[int, list[tuple[int, np.ndarray, bytes]]] = {}  # per length: blocks of queries
         best: dict[int, np.ndarray] = {}  # per block of queries: (query row, query id, vector id, score) of the best k
 
         def given() -> Iterator[pd.DataFrame]:
             for q_block, x in best.items():
                 yield pd.DataFrame({"query_id": x[1], "q_block": q_block, "q_row": x[0], "vec_id": x[2], "score": x[3]})
             best.clear()
+            held.clear()
 
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
-                if held[0] != r.block:
-                    held = (r.block, ImpactBlock(_integers(r.data, len(ids), r.dims)))
-                asked = _integers(r.q_data, len(q_ids), r.dims)
-                rows, members, score = search_block(held[1], asked, k + int(np.unique(ids, return_counts=True)[1].max()))
-                other = q_ids[rows] != ids[members]
-                rows, members = rows[other], members[other]
-                new = np.stack([rows, q_ids[rows], ids[members], score[other]])
-                both = np.concatenate([best[r.q_block], new], axis=1) if r.q_block in best else new
-                both = both[:, np.lexsort((both[2], -both[3], both[0]))]
-                best[r.q_block] = both[:, np.arange(both.shape[1]) - np.searchsorted(both[0], both[0]) < k]
-                if len(best) > HELD_BLOCKS:
+                if r.cell != cell:
                     yield from given()
+                    cell = r.cell
+                ids = np.frombuffer(r.ids, "<i8")
+                if r.kind == 0:
+                    held.setdefault(r.dims, []).append((r.block, ids, r.data))
+                    continue
+                if r.dims not in held:
+                    continue
+                block = ImpactBlock(_integers(r.data, len(ids), r.dims))
+                wanted = k + int(np.unique(ids, return_counts=True)[1].max())
+                for q_block, q_ids, q_data in held[r.dims]:
+                    rows, members, score = search_block(block, _integers(q_data, len(q_ids), r.dims), wanted)
+                    other = q_ids[rows] != ids[members]
+                    rows, members = rows[other], members[other]
+                    new = np.stack([rows, q_ids[rows], ids[members], score[other]])
+                    both = np.concatenate([best[q_block], new], axis=1) if q_block in best else new
+                    both = both[:, np.lexsort((both[2], -both[3], both[0]))]
+                    best[q_block] = both[:, np.arange(both.shape[1]) - np.searchsorted(both[0], both[0]) < k]
         yield from given()
 
-    # Each block of queries is sent to every block of the index: a stated query set against all rows.
-    # Index blocks are dealt over salts, so that no task holds all of them.
-    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = index.select("block", F.col("dims").alias("q_dims"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
-    sent = asked.select("q_block", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    pairs = sent.join(blocks, ["q_dims", "salt"]).drop("q_dims", "salt").join(index, "block")
-    best = batched(pairs).mapInPandas(search, "query_id long, q_block long, q_row long, vec_id long, score long")
+    # Each block of queries is sent to every group of the index: a stated query set against all rows.
+    tasks = shuffle_partitions(vectors.sparkSession)
+    rows, cells = _cells(index, asked, k, tasks)
+    dealt = rows.repartitionById(min(tasks, cells), F.pmod("cell", F.lit(min(tasks, cells))).cast("int")).sortWithinPartitions("cell", "kind", "block")
+    best = batched(dealt).mapInPandas(search, "query_id long, q_block long, q_row long, vec_id long, score long")
     w = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -285,3 +285,23 @@ def test_log_weights_are_sums_of_log_ratios(spark):
         w = sum(ratio[x] * c for x, c in g.items())
         want.append((i is not None, i or 0, round(w, 6), round(w * importance.LENGTH / max(1, sum(g.values())), 6)))
     assert np.allclose([x[2:] for x in got], [x[2:] for x in sorted(want)], atol=2e-6) and [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+
+
+def test_top_k_sends_no_queries_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 6 if i % 7 else 4)]) for i in range(400)]
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 20)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "HELD_BYTES", 1 << 12, raising=False)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 20)
+    # Queries were copied once for each shuffle partition, and the copies broadcast where the file was small.
+    assert not re.search("Broadcast|Join", got._jdf.queryExecution().executedPlan().toString())
+    alike = [[r for r in rows if len(r[1]) == n] for n in (4, 6)]
+    assert {tuple(r) for r in got.collect()} == set.union(*(brute_top(x, range(0, 400, 20), 20) for x in alike))
+    # Every block of queries meets every block of vectors, in one cell.
+    index, asked = (topk.packed(x, "vec_id", "embedding", 64, 20) for x in (df, df.where("vec_id % 20 = 0")))
+    sent, cells = topk._cells(index, asked, 20, 8)
+    assert cells >= 8 and sent.select("cell").distinct().count() <= cells
+    met = sent.where("kind = 0").alias("q").join(sent.where("kind = 1").alias("v"), "cell").groupBy("q.block", "v.block").count()
+    assert met.count() == index.count() * asked.count() and met.where("count <> 1").count() == 0
