@@ -18,7 +18,9 @@ components) are a bucket; buckets with the same members are one bucket, told by
 64-bit sums over their members' hashes. Buckets may be of any size and no pair of one is ever a row:
 
 1. All texts of a bucket meet its leader, the member that shares most with others (the sum of its
-   buckets' sizes). Links join classes, and a bucket whose texts are of one class is done.
+   buckets' sizes). Links join classes. From then on the buckets of one leader, 40 at most, are one
+   bucket with each of their texts once, without the leader; it is done where its texts are of one
+   class.
 2. While an open bucket has more than BLOCK bytes of text, the texts outside its largest class are
    led by one of them, drawn by hash, which meets all texts of the bucket: as long as such a round
    takes a tenth of the texts outside the largest classes into others.
@@ -269,9 +271,13 @@ def _block_of(blocks: str, seed: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(blocks)).cast("int")
 
 
+def _led(pairs: DataFrame) -> DataFrame:
+    """(leader, id, bytes): each text once for each leader, but the leader itself."""
+    return staged(pairs.where("id <> leader").groupBy("leader", "id").agg(F.max("bytes").alias("bytes")), "led")
+
+
 def _stars(led: DataFrame, block: int) -> DataFrame:
-    """Meetings of the pairs (id, bytes, leader): the leader goes to every block of those it leads."""
-    led = staged(led.where("id <> leader").groupBy("leader", "id").agg(F.max("bytes").alias("bytes")), "led")
+    """Meetings of (leader, id, bytes): the leader goes to every block of those it leads."""
     leaders = led.groupBy("leader").agg(F.sum("bytes").alias("bytes")).withColumn("n", _blocks("bytes", block))
     rows = led.join(leaders.select("leader", "n"), "leader").select(F.col("leader").alias("c1"), _block_of("n", 1).cast("long").alias("c2"), "id", F.lit(False).alias("out"))
     heads = leaders.select(F.col("leader").alias("c1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("c2"), F.col("leader").alias("id"), F.lit(True).alias("out"))
@@ -320,8 +326,10 @@ def links(members: DataFrame, texts_of, block: int | None = None) -> DataFrame:
     texts = staged(texts_of(active.select("id").distinct()), "texts")
     score = active.groupBy("id").agg(F.sum("near").alias("score"))
     scored = active.join(score, "id").groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("leader"))
-    first = staged(_met(_stars(active.join(scored, "key").select("id", "bytes", "leader"), block), texts), "links")
-    roots = components(first)
+    led = _led(active.join(scored, "key"))
+    roots = components(staged(_met(_stars(led, block), texts), "links"))
+    # A leader has met all texts of its buckets: what else can be linked is two of the texts it leads.
+    active = led.withColumnRenamed("leader", "key")
     round_, before = 0, None
     while True:
         opened = _open(active, roots)
@@ -333,7 +341,9 @@ def links(members: DataFrame, texts_of, block: int | None = None) -> DataFrame:
             return _joined(roots, _rest(opened, block), texts)[0]
         before, round_ = outs, round_ + 1
         drawn = large.where("out").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(round_))).alias("leader"))
-        roots = _joined(roots, _stars(large.join(drawn, "key").select("id", "bytes", "leader"), block), texts)[0]
+        roots, some = _joined(roots, _stars(_led(large.join(drawn, "key")), block), texts)
+        if not some:
+            return _joined(roots, _rest(opened, block), texts)[0]
         active = opened.select("key", "id", "bytes")
 
 

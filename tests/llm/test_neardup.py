@@ -85,3 +85,20 @@ def test_one_very_long_text_among_short_ones(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:-30])), (3, "w1 w2 w3 w4 w5 w6"), (4, " ".join(words[:20_000]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == brute_classes(rows)
+
+
+def test_texts_of_many_shared_buckets_are_opened_once_for_a_leader(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = list(enumerate(group(rng, 150, 120, 8)))
+    counts = {}
+
+    def counted(df, label, path=None, staged=neardup.staged):
+        out = staged(df, label, path)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > 1
+    # A text is in up to 40 buckets; those of one leader were opened, joined and sent one by one.
+    assert counts["open"][0] <= counts["led"][0] < 0.5 * counts["buckets"][0]
