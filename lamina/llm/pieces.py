@@ -104,6 +104,10 @@ class Recent(dict):
         self[key] = data
         self.held += _ENTRY + len(key) + len(data)
 
+    def empty(self) -> None:
+        self.clear()
+        self.held, self.old = 0, {}
+
 
 class PieceEncoder:
     """ids of whole texts. encode_many: a list of strings -> a list of id lists (of any text)."""
@@ -114,6 +118,10 @@ class PieceEncoder:
         self.code = "H" if vocab_size <= 1 << 16 else "I"
         self.cache = Recent(CACHE_PIECES)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.cache.empty()
+
     def packed(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as bytes."""
         return [array(self.code, ids).tobytes() for ids in self.encode_many(pieces)]
@@ -199,6 +207,10 @@ def library_encoder(path: str, mode: str) -> PieceEncoder:
 
             parts = Recent(CACHE_PARTS)
 
+            def forget(self) -> None:
+                super().forget()
+                self.parts.empty()
+
             def part(self, p: str) -> bytes:
                 data = self.parts.old.get(p)
                 if data is None:
@@ -237,6 +249,14 @@ def library_encoder(path: str, mode: str) -> PieceEncoder:
     return _ENCODERS[path, mode]
 
 
+def forget() -> None:
+    """Empty the caches of all encoders of this Python worker, for tasks that come after the encoding: Spark
+    gives them the same workers, which would hold the pieces to no use."""
+    for encoder in _ENCODERS.values():
+        encoder.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def with_end(flat: np.ndarray, rows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with one more id at the end of each text."""
     return np.insert(flat, np.cumsum(rows), flat.dtype.type(end_id)), rows + 1

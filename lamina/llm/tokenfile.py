@@ -27,16 +27,23 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, shuffle_partitions, staged_path
-from .pieces import library_encoder, sliced, with_end
+from .pieces import forget, library_encoder, sliced, with_end
 
-SEGMENT_IDS = 1 << 20  # a segment ends at the first document that reaches so many ids
+# A segment ends at the first document that reaches so many ids: 256 kB in two bytes each, since the JVM
+# copies a segment as one array several times, and arrays of 512 kB are the least that G1 gives regions
+# of their own in a heap of 2 GB.
+SEGMENT_IDS = 1 << 17
+# A reader of the file holds a row group at a time, a writer a page besides; their sizes are looked at after
+# each row, as Parquet's writer else does that after 100 rows only, whatever they hold.
+_CONTAINER = {"compression": "zstd", "parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 16, "parquet.page.size.row.check.min": 1}
 
 
 BLOCK = 64  # bytes of high bits that an entry of the select directory stands for
@@ -137,6 +144,18 @@ def _segments(bucket: int, first: int, keys: list, ids: list[bytes], width: int)
     }
 
 
+@contextmanager
+def _short_reads(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Texts are read from Parquet so many rows at a time: a column's batch is one array, which is copied as it grows."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, mode: str = "word") -> None:
     """Encode docs (doc_id, text) and write the token file `path`.
 
@@ -159,6 +178,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, mode: st
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), keys, _binary(flat, rows)], ["bucket", "doc_id", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         width = library_encoder(tokenizer_path, mode).dtype.itemsize
         bucket, first, keys, ids, held = None, 0, [], [], 0
         for batch in batches:
@@ -175,14 +195,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, mode: st
         if ids:
             yield pa.RecordBatch.from_pylist([_segments(bucket, first, keys, ids, width)], _SEGMENT_ARROW)
 
-    (
+    file = (
         batched(docs)
         .mapInArrow(encode, _ENCODED)
         .repartitionById(len(cuts) + 1, F.col("bucket"))
         .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
         .mapInArrow(build, _SEGMENT)
-        .write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    )
+    )
+    with _short_reads(spark):
+        file.write.options(**_CONTAINER).parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -196,6 +217,7 @@ def read(spark, path: str) -> DataFrame:
         base[bucket], before = before, before + n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for s in batch.to_pylist():
                 end = EliasFano(s["n_docs"], s["end_bits"], s["end_low"], s["end_high"], s["end_ranks"])

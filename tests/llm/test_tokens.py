@@ -210,3 +210,42 @@ def test_pack(spark):
     n = check_packed(rows, out, Tokenizer.from_file(BYTE))
     assert n <= 1.05 * -(-sum(r.length for r in out) // 1024) + 1
     assert packing.pack(docs(spark, []), BYTE).count() == 0
+
+
+def test_token_file_containers_are_of_bounded_size(spark, tmp_path):
+    """Equal keys, so one bucket and one container of six million ids: segments and row groups end in time."""
+    import pyarrow.parquet as pq
+
+    path, n, words = str(tmp_path / "tokens"), 100, 60_000
+    rows_at_once = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    tokenfile.write(docs(spark, [(5, "the fox " * (words // 2))] * n), path, WORD, 2)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == rows_at_once
+    one = len(Tokenizer.from_file(WORD).encode("the fox " * (words // 2), add_special_tokens=False).ids) + 1
+    groups = []
+    for f in os.listdir(path):
+        if f.endswith(".parquet"):
+            meta = pq.read_metadata(f"{path}/{f}")
+            groups += [(meta.row_group(i).num_rows, meta.row_group(i).total_byte_size) for i in range(meta.num_row_groups)]
+    sizes = [r.n_ids for r in spark.read.parquet(path).select("n_ids").collect()]
+    assert sum(sizes) == n * one and max(sizes) < (1 << 17) + one
+    assert sum(r for r, _ in groups) == len(sizes) > 16 and max(r for r, _ in groups) <= 16 and max(b for _, b in groups) < 8 << 20
+    got = sorted(tuple(r) for r in tokenfile.read(spark, path).select("start", "doc_id", "n_tokens").collect())
+    assert got == [(i * one, 5, one) for i in range(n)]
+
+
+def test_token_file_is_read_without_the_caches_of_the_encoding(spark, tmp_path, monkeypatch):
+    class Stage:
+        def mapInArrow(self, task, schema):
+            return task
+
+    path, encoder = str(tmp_path / "tokens"), library_encoder(WORD, "word")
+    tokenfile.write(docs(spark, ROWS), path, WORD, 2)
+    flat, rows = encoder.encode(pa.array(texts(200)))
+    assert encoder.cache.held and encoder.parts.held
+    monkeypatch.setattr(tokenfile, "batched", lambda df: Stage())
+    batches = spark.read.schema(tokenfile._SEGMENT).parquet(path).toArrow().to_batches()
+    got = [x for b in tokenfile.read(spark, path)(iter(batches)) for x in b.column("n_tokens").to_pylist()]
+    assert sorted(got) == sorted(n for _, _, n, _ in brute_file(ROWS, Tokenizer.from_file(WORD), 2))
+    assert not any(c or c.old or c.held for c in (encoder.cache, encoder.parts))
+    again = encoder.encode(pa.array(texts(200)))
+    assert again[0].tolist() == flat.tolist() and again[1].tolist() == rows.tolist()
