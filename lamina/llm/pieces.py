@@ -224,13 +224,15 @@ def library_encoder(path: str, mode: str) -> PieceEncoder:
                     data = known(x)
                     if data:
                         out.append(data)
-                    elif x.isascii() and x[mode == "byte" and x[:1] == " " :].isalpha() and len(x) <= 200:  # one part
+                        continue
+                    plain = x.isascii()
+                    if plain and x[mode == "byte" and x[:1] == " " :].isalpha() and len(x) <= 200:  # one part
                         out.append(part(x))
-                    elif len(x) > 200 or not _PLAIN.fullmatch(x) or "<|" in x and any(t in x for t in added):
+                    elif len(x) > 200 or not (plain or _PLAIN.fullmatch(x)) or "<|" in x and any(t in x for t in added):
                         rest.append(i)
                         out.append(b"")
                     else:
-                        out.append(b"".join([known(p) or part(p) for p in split(x if mode == "byte" else x.lower())]))
+                        out.append(b"".join([known(p) or part(p) for p in split(x if plain or mode == "byte" else x.lower())]))
                 for i, data in zip(rest, super()._pack([pieces[i] for i in rest]), strict=True):
                     out[i] = data
                 return out

@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from .common import batched, shuffle_partitions, staged_path
 from .pieces import forget, library_encoder, sliced, with_end
 
-# A segment ends at the first document that reaches so many ids: 256 kB in two bytes each, since the JVM
-# copies a segment as one array several times, and arrays of 512 kB are the least that G1 gives regions
-# of their own in a heap of 2 GB.
+# A segment ends at the first document that reaches so many ids: 256 kB in two bytes each, since the JVM copies
+# a segment as one array several times, and arrays of 512 kB are the least that G1 gives regions of their own
+# in a heap of 2 GB.
 SEGMENT_IDS = 1 << 17
 # A reader of the file holds a row group at a time, a writer a page besides; their sizes are looked at after
 # each row, as Parquet's writer else does that after 100 rows only, whatever they hold.
-_CONTAINER = {"compression": "zstd", "parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 16, "parquet.page.size.row.check.min": 1}
+_CONTAINER = {"compression": "zstd", "parquet.block.size": 4 << 20, "parquet.block.row.count.limit": 8, "parquet.page.size": 256 << 10, "parquet.page.size.row.check.min": 1}
 
 
 BLOCK = 64  # bytes of high bits that an entry of the select directory stands for
@@ -145,7 +145,7 @@ def _segments(bucket: int, first: int, keys: list, ids: list[bytes], width: int)
 
 
 @contextmanager
-def _short_reads(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+def _short_reads(spark: SparkSession, rows: int = 64) -> Iterator[None]:
     """Texts are read from Parquet so many rows at a time: a column's batch is one array, which is copied as it grows."""
     key = "spark.sql.parquet.columnarReaderBatchSize"
     before = spark.conf.get(key, None)
